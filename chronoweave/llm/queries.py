@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import encode_documents
 from .common import read_table
+from .langid import fit as fit_languages
+from .langid import identify
 from .packing import pack_documents
 from .toxicity import fit as fit_toxicity
 from .toxicity import score_documents
@@ -19,6 +21,11 @@ def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return identify(docs, fit_languages(docs))
+
+
 def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score_documents(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
@@ -29,6 +36,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op5_hierarchical_packing, op9_compression_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op5_hierarchical_packing, op6_nearest_centroid_language, op9_compression_toxicity, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {}
