@@ -13,8 +13,19 @@ from .common import read_table
 from .langid import fit as fit_languages
 from .langid import identify
 from .packing import pack_documents
+from .sharding import shard_by_bytes
 from .toxicity import fit as fit_toxicity
 from .toxicity import score_documents
+from .warc import deduplicated_archives
+
+
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = deduplicated_archives(read_table(spark, sf_dir, "pages"), min_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(read_table(spark, sf_dir, "documents"), shards=16)
 
 
 def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +47,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op5_hierarchical_packing, op6_nearest_centroid_language, op9_compression_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op3_warc_revisits, op4_best_fit_shards, op5_hierarchical_packing, op6_nearest_centroid_language, op9_compression_toxicity, op10_byte_bpe)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc_revisits": """
+        WITH described AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+        ), coded AS (
+            SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substring(
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + ((CAST('0x' || substring(hex, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> (5 * (3 - i % 4))) & 31), 1)), '') AS payload_digest
+            FROM described
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN page_id = max(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id < max(page_id) OVER same THEN max(page_id) OVER same END AS refers_to
+        FROM coded WINDOW same AS (PARTITION BY payload_digest)
+    """,
+}
