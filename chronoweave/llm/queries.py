@@ -12,6 +12,7 @@ from .byte_bpe import encode_documents
 from .common import read_table
 from .langid import fit as fit_languages
 from .langid import identify
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .sharding import shard_by_bytes
 from .toxicity import fit as fit_toxicity
@@ -37,6 +38,10 @@ def op6_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return identify(docs, fit_languages(docs))
 
 
+def op7_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score_documents(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
@@ -47,7 +52,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_warc_revisits, op4_best_fit_shards, op5_hierarchical_packing, op6_nearest_centroid_language, op9_compression_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op3_warc_revisits, op4_best_fit_shards, op5_hierarchical_packing, op6_nearest_centroid_language, op7_setsketch_near_duplicates, op9_compression_toxicity, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {
     "op3_warc_revisits": """
