@@ -18,15 +18,21 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
+
+from .byte_bpe import byte_characters
 
 TIERS = (64, 128, 256, 512, 1024, 2048)
 END_ID = 1
@@ -49,14 +55,48 @@ class WordTokenizer:
     """Ids of texts by a ``tokenizers`` file that drops white space and never joins text across it.
 
     Such a tokenizer treats the words of a text one by one, so the ids of a text are those of its words; each distinct word goes
-    through the library once.  Strings of special tokens are ordinary text.
+    through the library once.  Words that normalisation leaves as they are and that consist of letters only are one pre-token each; those go
+    straight to the file's merge model, many at a time, and the marks of word ends in its pieces tell their ids apart.  Strings of special
+    tokens are ordinary text.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self.remembered = remembered
         self._known: dict[str, bytes] = {"": b""}
+        kept = json.loads(self._tokenizer.to_str())
+        end, steps = kept["model"].get("end_of_word_suffix"), kept["pre_tokenizer"].get("pretokenizers", [])
+        self._merges = None
+        if end and steps and steps[-1]["type"] == "ByteLevel" and not steps[-1]["add_prefix_space"]:
+            self._merges = Tokenizer(self._tokenizer.model)
+            self._merges.pre_tokenizer = WhitespaceSplit()
+            vocabulary = self._tokenizer.get_vocab()
+            self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self._ends[[i for piece, i in vocabulary.items() if piece.endswith(end)]] = True
+            self._table = dict(enumerate(byte_characters()))
+
+    def _learn(self, words: list[str]) -> None:
+        known, plain, mapped, other = self._known, [], [], []
+        for w in words:
+            if self._merges is not None and w.isalpha() and w == w.lower() and is_normalized("NFC", w):
+                plain.append(w)
+                mapped.append(w if w.isascii() else w.encode().decode("latin-1").translate(self._table))
+            else:
+                other.append(w)
+        for at in range(0, len(plain), 100):
+            part = plain[at : at + 100]
+            ids = np.array(self._merges.encode_batch_fast([" ".join(mapped[at : at + 100])], add_special_tokens=False)[0].ids, "<u4")
+            raw, begin = ids.tobytes(), 0
+            ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            for w, end in zip(part, ends, strict=True):
+                known[w] = raw[begin:end]
+                begin = end
+        for at in range(0, len(other), 1000):
+            part = other[at : at + 1000]
+            for w, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         low = text.lower() if text.isascii() else text.encode().translate(_LOWER).decode()
@@ -68,9 +108,7 @@ class WordTokenizer:
                 known.clear()
                 known[""] = b""
                 new = [w for w in set(words) if w]
-            for part in (new[i : i + 4096] for i in range(0, len(new), 4096)):
-                for w, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+            self._learn(new)
         return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
 
 
