@@ -8,6 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .byte_bpe import encode_documents
 from .common import read_table
 from .langid import fit as fit_languages
@@ -15,11 +16,22 @@ from .langid import identify
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .sharding import shard_by_bytes
+from .topk import top_products
 from .toxicity import fit as fit_toxicity
 from .toxicity import score_documents
 from .warc import deduplicated_archives
 
 
+def op1_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "embeddings")
+    return nearest(table, table.where("vec_id % 50 = 0"), k=5)
+
+
+def op2_no_random_access_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "embeddings")
+    return top_products(table, table.where("vec_id % 50 = 0"), k=5, scale=256.0)
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deduplicated_archives(read_table(spark, sf_dir, "pages"), min_bytes=0)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -52,9 +64,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_warc_revisits, op4_best_fit_shards, op5_hierarchical_packing, op6_nearest_centroid_language, op7_setsketch_near_duplicates, op9_compression_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_multiprobe_neighbours, op2_no_random_access_topk, op3_warc_revisits, op4_best_fit_shards, op5_hierarchical_packing, op6_nearest_centroid_language, op7_setsketch_near_duplicates, op9_compression_toxicity, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {
+    "op2_no_random_access_topk": """
+        WITH usable AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+            FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ), placed AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 5
+    """,
     "op3_warc_revisits": """
         WITH described AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
