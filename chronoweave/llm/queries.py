@@ -13,6 +13,8 @@ from .byte_bpe import encode_documents
 from .common import read_table
 from .langid import fit as fit_languages
 from .langid import identify
+from .licenses import duckdb_sql as license_sql
+from .licenses import scan_licenses
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .sharding import shard_by_bytes
@@ -54,6 +56,10 @@ def op7_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score_documents(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
@@ -64,7 +70,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_multiprobe_neighbours, op2_no_random_access_topk, op3_warc_revisits, op4_best_fit_shards, op5_hierarchical_packing, op6_nearest_centroid_language, op7_setsketch_near_duplicates, op9_compression_toxicity, op10_byte_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_multiprobe_neighbours,
+        op2_no_random_access_topk,
+        op3_warc_revisits,
+        op4_best_fit_shards,
+        op5_hierarchical_packing,
+        op6_nearest_centroid_language,
+        op7_setsketch_near_duplicates,
+        op8_license_digests,
+        op9_compression_toxicity,
+        op10_byte_bpe,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op2_no_random_access_topk": """
@@ -93,4 +113,5 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id < max(page_id) OVER same THEN max(page_id) OVER same END AS refers_to
         FROM coded WINDOW same AS (PARTITION BY payload_digest)
     """,
+    "op8_license_digests": license_sql(),
 }
