@@ -8,9 +8,11 @@ sets overlap.  Runs of ``ROWS`` registers are bands; classes that share a band m
 Pairs are found without listing a bucket's pairs.  Each bucket has a pivot, its smallest class:
 1. every class is compared with the pivot it shares most bands with, and the links give components;
 2. it is compared with its other pivots, if they are in another component;
-3. what is left of a bucket, classes outside of its pivot's component, is compared with the bucket's classes of other components.
-So a group of near copies, however large, costs a few comparisons for each member, and only classes that stayed apart are compared
-further; no link within a bucket between components is missed.  A comparison estimates the similarity from both registers and
+3. buckets whose classes are still in several components are looked at once more.  A class of which so many shingles occur in no other such
+   class that nothing can be similar to it is left out.  The others are grouped by the buckets they share, and classes of a group
+   in different components are compared exactly, a block of classes with a block, by counting common shingles as a matrix product.
+So a group of near copies, however large, costs a few comparisons for each member, and only groups in which classes stayed apart that have
+little of their own are compared further; no link within a bucket between components is missed.  A comparison estimates the similarity from both registers and
 both set sizes by maximum likelihood; pairs above a bound five standard errors below the threshold are verified on the
 full sets.  At the threshold a pair shares no band with probability 2e-5.
 
@@ -44,6 +46,8 @@ BASE, RATE = 1.001, 20.0
 SLACK = 0.16
 #: Tasks that the members of one pivot are dealt to at most.
 SALTS = 64
+#: Shingles of a block of classes, about, and columns of a matrix product at once.
+BLOCK_SHINGLES, CHUNK = 65_536, 8192
 
 _random = np.random.default_rng(20_240_501)
 _BYTE = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -257,22 +261,29 @@ class _Linker:
             return pairs
         return self.comp(self.comp(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
 
+    def load(self, ends: DataFrame) -> None:
+        """Makes the sets of the given classes (end), as far as they are not there."""
+        if self.sets is not None:
+            ends = ends.join(self.sets.select(F.col("node").alias("had")), F.col("end") == F.col("had"), "left_anti")
+        wanted = self.nodes.join(ends, F.col("node") == F.col("end"), "left_semi")
+        more = written(_sets(self.docs, wanted))
+        self.sets = more if self.sets is None else self.sets.unionByName(more)
+
     def link(self, pairs: DataFrame) -> None:
         """Compares pairs and merges the components of those that are linked."""
         likely = written(_compared(pairs, self.sketches, _likely))
         if likely.isEmpty():
             drop_written(likely)
             return
-        ends = likely.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-        if self.sets is not None:
-            ends = ends.join(self.sets.select(F.col("node").alias("had")), F.col("end") == F.col("had"), "left_anti")
-        wanted = self.nodes.join(ends, F.col("node") == F.col("end"), "left_semi")
-        more = written(_sets(self.docs, wanted))
-        sets = more if self.sets is None else self.sets.unionByName(more)
-        links = written(_compared(likely, sets, _verified))
-        self.sets = sets
+        self.load(likely.select(F.explode(F.array("a", "b")).alias("end")).distinct())
+        self.merge(_compared(likely, self.sets, _verified))
         drop_written(likely)
+
+    def merge(self, links: DataFrame) -> None:
+        """Merges the components of linked classes (a, b)."""
+        links = written(links)
         if links.isEmpty():
+            drop_written(links)
             return
         if self.labels is None:
             self.labels = connected(links)
@@ -311,7 +322,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = best.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
     others = stars.select("a", "b").join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
     linker.link(linker.apart(others))
-    linker.link(_left_over(linker, met))
+    linker.merge(_left_over(linker, met))
 
     labelled = linker.comp(classes.select("set_id", "node", "low"), "node", "comp")
     lows = labelled.groupBy(F.col("comp").alias("c")).agg(F.min("low").alias("lowest"))
@@ -322,16 +333,111 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.when(F.col("n_shingles") == 0, F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
 
 
+def _shared_counts(sets: DataFrame) -> DataFrame:
+    """node and ``common``, the number of its shingles that another class of ``sets`` has too; rows of two numbers are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                shingles = np.frombuffer(value.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(shingles), pa.array(np.full(len(shingles), node))], ["shingle", "node"])
+
+    rows = sets.select("node", "value").mapInArrow(run, "shingle long, node long")
+    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+    own = alone.groupBy(F.col("node").alias("owner")).agg(F.count("*").alias("own"))
+    counted = sets.select("node", "n").join(own, F.col("node") == F.col("owner"), "left")
+    return counted.select("node", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
 def _left_over(linker: _Linker, met: DataFrame) -> DataFrame:
-    """Pairs of a bucket's classes outside its pivot's component with its classes of other components (but the pivot)."""
-    members = linker.comp(linker.comp(met, "node", "cn"), "pivot", "cp").where("node <> pivot")
-    rest = members.where("cn <> cp").select(F.col("bucket").alias("at"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("cn").alias("ca"))
-    rest = written(rest)
-    open_buckets = rest.select("at").distinct()
-    others = members.join(open_buckets, F.col("bucket") == F.col("at"), "left_semi").select("bucket", F.col("node").alias("b"), "n", "cn", "cp")
-    similar = (100 * F.least("n", "na") >= PERCENT * F.greatest("n", "na")) & (F.col("cn") != F.col("ca"))
-    once = (F.col("cn") == F.col("cp")) | (F.col("a") < F.col("b"))
-    return rest.join(others, (F.col("at") == F.col("bucket")) & similar & once).select("a", "b").distinct()
+    """Links (a, b) between components of classes that share a bucket, as many as are needed to merge them."""
+    members = linker.comp(linker.comp(met, "node", "cn"), "pivot", "cp")
+    open_buckets = members.where("cn <> cp").select(F.col("bucket").alias("at")).distinct()
+    inside = written(members.join(open_buckets, F.col("bucket") == F.col("at"), "left_semi").select("bucket", "node", "n", "cn"))
+    nodes = written(inside.select(F.col("node").alias("end")).distinct())
+    linker.load(nodes)
+    common = _shared_counts(linker.sets.join(nodes, F.col("node") == F.col("end"), "left_semi"))
+    able = inside.join(common.select(F.col("node").alias("of"), "common"), F.col("node") == F.col("of"))
+    able = written(able.where(100 * F.col("common") >= PERCENT * F.col("n")).select("bucket", "node", "n", "cn"))
+    apart = able.groupBy(F.col("bucket").alias("at")).agg(F.min("node").alias("head"), F.min("cn").alias("low"), F.max("cn").alias("high"))
+    edges = able.join(apart.where("low <> high").select("at", "head"), F.col("bucket") == F.col("at")).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    grouped = connected(edges.distinct()).select(F.col("node").alias("of"), F.col("comp").alias("group"))
+    rows = able.select("node", "n", "cn").distinct().join(grouped, F.col("node") == F.col("of")).select("node", "n", "cn", "group")
+    blocks = F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")
+    rows = rows.join(rows.groupBy(F.col("group").alias("g")).agg(blocks), F.col("group") == F.col("g"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    sent = rows.select("group", "node", "cn", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sent = sent.select("group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "cn", "own")
+    values = linker.sets.select(F.col("node").alias("of"), "value")
+    sent = sent.join(values, F.col("node") == F.col("of")).select("group", "lo", "hi", "node", "cn", "own", "value")
+    sent = sent.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, []
+
+        def result() -> pa.RecordBatch:
+            a, b = _merging_links(block, now[1] if now else 0, now[2] if now else 0)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            node, comp, own = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            for i, key in enumerate(keys):
+                if key != now:
+                    yield result()
+                    now, block = key, []
+                block.append((node[i], comp[i], own[i], np.frombuffer(batch.column(6)[i].as_py(), np.uint64)))
+        yield result()
+
+    return sent.mapInArrow(run, "a long, b long")
+
+
+def _merging_links(block: list[tuple[int, int, int, np.ndarray]], lo: int, hi: int) -> tuple[list[int], list[int]]:
+    """Of classes (node, component, block, set) the links that merge components, between block ``lo`` and block ``hi``."""
+    left = [x for x in block if x[2] == lo]
+    right = [x for x in block if x[2] == hi]
+    if not left or not right:
+        return [], []
+    common = np.zeros((len(left), len(right)))
+    here = np.concatenate([x[3] for x in block])
+    values, times = np.unique(here, return_counts=True)
+    values = values[times > 1]  # a shingle of one class counts for no pair
+
+    def places(side: list) -> tuple[np.ndarray, np.ndarray]:
+        flat, of = np.concatenate([x[3] for x in side]), np.repeat(np.arange(len(side)), [len(x[3]) for x in side])
+        at = np.searchsorted(values, flat)
+        known = (at < len(values)) & (values[np.minimum(at, len(values) - 1)] == flat) if len(values) else np.zeros(len(flat), bool)
+        order = np.argsort(at[known], kind="stable")
+        return at[known][order], of[known][order]
+
+    (at_l, of_l), (at_r, of_r) = places(left), places(right)
+    for start in range(0, len(values), CHUNK):
+        width = min(CHUNK, len(values) - start)
+        pair = []
+        for at, of, rows in ((at_l, of_l, len(left)), (at_r, of_r, len(right))):
+            i, j = np.searchsorted(at, [start, start + width])
+            dense = np.zeros((rows, width), np.float32)
+            dense[of[i:j], at[i:j] - start] = 1
+            pair.append(dense)
+        common += pair[0] @ pair[1].T
+    n_l, n_r = (np.array([len(x[3]) for x in side]) for side in (left, right))
+    comp_l, comp_r = (np.array([x[1] for x in side]) for side in (left, right))
+    found = (100 * common >= PERCENT * (n_l[:, None] + n_r[None, :] - common)) & (comp_l[:, None] != comp_r[None, :])
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    a, b = [], []
+    for i, j in zip(*np.nonzero(found), strict=True):
+        x, y = top(int(comp_l[i])), top(int(comp_r[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            a.append(left[i][0])
+            b.append(right[j][0])
+    return a, b
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
