@@ -3,7 +3,7 @@
 A text becomes counts of hashed character n-grams (one to three letters, word ends included), damped by a logarithm, weighted
 by inverse document frequency and scaled to length one.  Each language has a few centroids, found by spherical k-means on its
 training texts; a text gets the language of the centroid with the largest cosine.  A text that is farther from all centroids
-than any training text of its length was from its own (with a margin) is rejected.
+than any training text of its length was from its own, by a wide margin, is rejected.
 
 The fit uses at most ``FIT_DOCS`` rows of a language (a hash sample over the whole table) and ``FIT_ALL`` in all; prediction covers whole texts.
 
@@ -27,8 +27,8 @@ from .common import hash_fraction, id_crc_mod
 #: Hash buckets of n-grams; centroids of a language; bounds of the training sample.
 BITS, CENTROIDS = 13, 4
 FIT_DOCS, FIT_ALL = 800, 12_800
-#: A text is rejected beyond this many times the largest distance, measured from a cosine of one, that training texts showed.
-MARGIN = 0.5
+#: A text is rejected if its cosine is below this part of the least that training texts of its length showed: only text unlike all languages.
+MARGIN = 0.2
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
