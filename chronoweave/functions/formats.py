@@ -10,6 +10,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from ..model import Dtype
+from .whole import floor_div
 
 NS = 1_000_000_000
 
@@ -59,7 +60,7 @@ def narrow(value: Column, dtype: Dtype) -> Column:
 
 def human_time(t_ns: Column) -> Column:
     """Nanoseconds in the largest unit that is not zero; ``---`` for zero."""
-    us, ms, s = F.floor(t_ns / 1000), F.floor(t_ns / 1_000_000), F.floor(t_ns / NS)
+    us, ms, s = (floor_div(t_ns, n) for n in (1000, 1_000_000, NS))
     part = lambda big, small: F.format_string("%d.%03d", big, small % 1000)
     return (
         F.when(t_ns == 0, "---")
@@ -73,12 +74,12 @@ def human_time(t_ns: Column) -> Column:
 def split_time(t_ns: Column) -> Column:
     """Seconds and nanoseconds of the second, for times before the epoch too."""
     rest = F.pmod(t_ns, F.lit(NS))
-    return F.struct(((t_ns - rest) / NS).cast("long").alias("sec"), rest.alias("nsec"))
+    return F.struct(floor_div(t_ns, NS).alias("sec"), rest.alias("nsec"))
 
 
 def period_to_rate(period_ns: Column) -> Column:
     """Whole samples a second of a period in nanoseconds; 0 stands for unknown both ways."""
-    return F.when(period_ns == 0, F.lit(0).cast("long")).otherwise(F.floor(F.lit(NS).cast("long") / F.when(period_ns != 0, period_ns)))
+    return F.when(period_ns == 0, F.lit(0).cast("long")).otherwise(F.call_function("div", F.lit(NS).cast("long"), F.when(period_ns != 0, period_ns)))
 
 
 def rate_to_period(rate_hz: Column) -> Column:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import floor_div
 from ..model import StreamError
 
 
@@ -25,7 +26,7 @@ def check_capacity(capacity: int) -> int:
 
 def frame_stamps(df: DataFrame, capacity: int) -> DataFrame:
     """Batches of ``capacity`` samples by ``seq``: number, time and period of the first sample, and count; no sort, one partial aggregate."""
-    batch = F.floor(F.col("seq") / check_capacity(capacity)).cast("long").alias("batch_id")
+    batch = batch_number(capacity).alias("batch_id")
     return df.groupBy("series_id", batch).agg(
         F.min_by("t_ns", "seq").alias("t_ns"), F.min_by("period_ns", "seq").alias("period_ns"), F.count("*").cast("int").alias("n")
     )
@@ -33,7 +34,7 @@ def frame_stamps(df: DataFrame, capacity: int) -> DataFrame:
 
 def to_batches(df: DataFrame, capacity: int) -> DataFrame:
     """The batch view: frames with their samples in an array.  A group holds at most ``capacity`` rows, as ``seq`` has no repeats."""
-    batch = F.floor(F.col("seq") / check_capacity(capacity)).cast("long").alias("batch_id")
+    batch = batch_number(capacity).alias("batch_id")
     rows = df.groupBy("series_id", batch).agg(F.sort_array(F.collect_list(F.struct("seq", "t_ns", "period_ns", "value"))).alias("rows"))
     return rows.select(
         "series_id", "batch_id", F.col("rows")[0]["t_ns"].alias("t_ns"), F.col("rows")[0]["period_ns"].alias("period_ns"),
@@ -125,4 +126,4 @@ def regular_batches(df: DataFrame, capacity: int = 64, detect: bool = True) -> D
 
 
 def batch_number(capacity: int) -> Column:
-    return F.floor(F.col("seq") / check_capacity(capacity)).cast("long")
+    return floor_div(F.col("seq"), check_capacity(capacity))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import floor_div
 from ..model import StreamError
 from .order import first_rows
 
@@ -67,7 +68,7 @@ def align_stats(df: DataFrame, period_ns: int) -> DataFrame:
 
 
 def frame_number(t_ns: Column, period_ns: int, size: int) -> Column:
-    return F.floor(t_ns / (period_ns * size)).cast("long")
+    return floor_div(t_ns, period_ns * size)
 
 
 def match_stamps(df: DataFrame, period_ns: int, size: int, emit_partial: bool = False) -> DataFrame:

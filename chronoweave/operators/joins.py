@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import ceil_div, floor_div
 from ..model import StreamError
 from .framing import check_period
 
@@ -41,7 +42,7 @@ def skew_sync(inputs: list[DataFrame], frame_ns: int, max_skew_ns: int) -> DataF
     for i, df in enumerate(inputs):
         one = df.select(F.lit(i).alias("cw_input"), "t_ns")
         every = one if every is None else every.unionByName(one)
-    frame = F.floor(F.col("t_ns") / frame_ns).cast("long").alias("frame")
+    frame = floor_div(F.col("t_ns"), frame_ns).alias("frame")
     first = every.groupBy(frame, "cw_input").agg(F.min("t_ns").alias("t"))
     out = first.groupBy("frame").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("skew_ns"))
     return out.where((F.col("n") == len(inputs)) & (F.col("skew_ns") <= max_skew_ns)).select("frame", "skew_ns")
@@ -53,7 +54,7 @@ def sample_and_hold(left: DataFrame, right: DataFrame, segment_ns: int = 3_600_0
     Times are cut into segments; each gets its right rows, and as a start the last right row of all earlier segments, taken from one
     row per segment.  So no task sees more than a segment.
     """
-    cut = F.floor(F.col("t_ns") / segment_ns).cast("long").alias("cw_segment")
+    cut = floor_div(F.col("t_ns"), segment_ns).alias("cw_segment")
     a = left.select("t_ns", "value", "seq", F.lit(1).alias("cw_left"), F.lit(None).cast("float").alias("cw_right"), cut)
     b = right.select("t_ns", F.lit(None).cast("float").alias("value"), "seq", F.lit(0).alias("cw_left"), F.col("value").cast("float").alias("cw_right"), cut)
     last = b.groupBy("cw_segment").agg(F.max_by("cw_right", F.struct("t_ns", "seq")).alias("cw_last"))
@@ -76,9 +77,9 @@ def regularize(df: DataFrame, period_ns: int, method: str = "hold") -> DataFrame
     from .order import with_previous
 
     back = with_previous(df.select("series_id", "seq", "t_ns", "value"), {"was_t": "t_ns", "was": "value"})
-    first = F.ceil(F.coalesce(F.col("was_t"), F.col("t_ns")) / period_ns)
+    first = ceil_div(F.coalesce(F.col("was_t"), F.col("t_ns")), period_ns)
     # Grid times in [previous, this), and for the last one of a series its own time if it is on the grid.
-    span = back.where(F.col("was_t").isNotNull()).select("series_id", "was_t", "t_ns", "was", "value", first.alias("k0"), F.ceil(F.col("t_ns") / period_ns).alias("k1"))
+    span = back.where(F.col("was_t").isNotNull()).select("series_id", "was_t", "t_ns", "was", "value", first.alias("k0"), ceil_div(F.col("t_ns"), period_ns).alias("k1"))
     grid = span.where("k1 > k0").select("series_id", "was_t", "t_ns", "was", "value", F.explode(F.sequence(F.col("k0"), F.col("k1") - 1)).alias("k"))
     at = F.col("k") * period_ns
     part = (at - F.col("was_t")) / (F.col("t_ns") - F.col("was_t"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import floor_div
+
 #: Time span of a segment when rows get their numbers, and rows of a segment when they look back.
 SEGMENT_NS, SEGMENT_ROWS = 86_400_000_000_000, 65_536
 
@@ -19,7 +21,7 @@ def with_seq(df: DataFrame, order: list[Column], segment_ns: int = SEGMENT_NS) -
 
     Rows are numbered within a series' time segments; segments start where the counts of earlier ones end.
     """
-    cut = F.floor(F.col("t_ns") / segment_ns)
+    cut = floor_div(F.col("t_ns"), segment_ns)
     rows = df.withColumn("cw_segment", cut)
     counts = rows.groupBy("series_id", "cw_segment").agg(F.count("*").alias("cw_n"))
     before = Window.partitionBy("series_id").orderBy("cw_segment").rowsBetween(Window.unboundedPreceding, -1)
@@ -35,7 +37,7 @@ def with_previous(df: DataFrame, columns: dict[str, str], segment_rows: int = SE
 
     Series are cut every ``segment_rows`` numbers of ``seq``; the last row of a segment is sent to the next one too.
     """
-    segment = F.floor(F.col("seq") / segment_rows)
+    segment = floor_div(F.col("seq"), segment_rows)
     last = F.pmod(F.col("seq"), F.lit(segment_rows)) == segment_rows - 1
     sent = df.withColumn("cw_segment", F.explode(F.when(last, F.array(segment, segment + 1)).otherwise(F.array(segment))))
     window = Window.partitionBy("series_id", "cw_segment").orderBy("seq")
@@ -45,5 +47,9 @@ def with_previous(df: DataFrame, columns: dict[str, str], segment_rows: int = SE
 
 
 def first_rows(df: DataFrame, **values: str) -> DataFrame:
-    """One row per series with values of its first row: a partially aggregated minimum, not a sort."""
-    return df.groupBy("series_id").agg(*(F.min_by(source, "seq").alias(name) for name, source in values.items()))
+    """One row per series with values of its first row: a partially aggregated minimum, not a sort.
+
+    The whole row is taken, so that a plan that joins the result back to ``df`` reads the same columns twice and shares its exchanges.
+    """
+    first = df.groupBy("series_id").agg(F.min_by(F.struct(*(c for c in df.columns if c != "series_id")), "seq").alias("cw_first"))
+    return first.select("series_id", *(F.col(f"cw_first.{source}").alias(name) for name, source in values.items()))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import floor_div
 from ..model import BufferConfig, Overflow, StreamError
 
 
@@ -81,7 +82,7 @@ def overlap_batches(df: DataFrame, size: int, overlap: int) -> DataFrame:
     step = size - overlap
     if not 0 <= overlap < size:
         raise StreamError("INVALID_CONFIG", "the overlap is below the size")
-    last = F.floor(F.col("seq") / step).cast("long")
-    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("seq") - size) / step).cast("long") + 1)
+    last = floor_div(F.col("seq"), step)
+    first = F.greatest(F.lit(0).cast("long"), floor_div(F.col("seq") - size, step) + 1)
     out = df.withColumn("batch_id", F.explode(F.sequence(first, last)))
     return out.withColumn("pos", F.col("seq") - F.col("batch_id") * step)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import floor_div
 from .order import with_previous
 
 
 def counters(df: DataFrame, capacity: int) -> DataFrame:
     """Batches (of ``capacity`` samples) and samples of each series: the last number tells the batches, nothing is counted twice."""
     out = df.groupBy("series_id").agg(F.max("seq").alias("cw_last"), F.min("seq").alias("cw_first"), F.count("*").alias("samples_processed"))
-    batches = F.floor(F.col("cw_last") / capacity) - F.floor(F.col("cw_first") / capacity) + 1
+    batches = floor_div(F.col("cw_last"), capacity) - floor_div(F.col("cw_first"), capacity) + 1
     return out.select("series_id", batches.cast("long").alias("n_batches"), "samples_processed")
 
 
@@ -52,8 +53,8 @@ def moving_average(df: DataFrame, width: int, segment_rows: int = 65_536) -> Dat
     """Mean of a sample and the ``width`` - 1 before it (extension).  Each segment also gets the rows that it looks back on."""
     from pyspark.sql.window import Window
 
-    segment = F.floor(F.col("seq") / segment_rows)
-    reach = F.floor((F.col("seq") + width - 1) / segment_rows)
+    segment = floor_div(F.col("seq"), segment_rows)
+    reach = floor_div(F.col("seq") + width - 1, segment_rows)
     sent = df.withColumn("cw_segment", F.explode(F.sequence(segment, reach)))
     window = Window.partitionBy("series_id", "cw_segment").orderBy("seq").rowsBetween(-(width - 1), 0)
     out = sent.withColumn("average", F.avg(F.col("value").cast("double")).over(window))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as ops
-from .functions import c_fixed, file_name, float_bits, hex32, human_time, narrow, number_text, period_to_rate, split_time
+from .functions import c_fixed, file_name, float_bits, floor_div, hex32, human_time, narrow, number_text, period_to_rate, split_time
 from .model import BufferConfig, Dtype, Overflow
 from .sinks import csv_frame, csv_lines, debug_lines, size_limited
 from .sources import Pattern, Waveform, discover_header, event_samples, function_samples, parse_lines, pattern_samples, signal_samples, variable_batches
@@ -159,7 +159,7 @@ _FOLD = """WITH RECURSIVE samples AS (
 @query(_FOLD.format(grid=HOUR * 24, close="(f.n >= 8 OR (f.n > 1 AND s.t_ns <> f.t0 + f.n * f.delta))"), samples=False)
 def regular_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of constant period; times are cut to days so that there are some."""
-    days = samples(spark, sf_dir).withColumn("t_ns", F.floor(F.col("t_ns") / (HOUR * 24)).cast("long") * (HOUR * 24))
+    days = samples(spark, sf_dir).withColumn("t_ns", floor_div(F.col("t_ns"), HOUR * 24) * (HOUR * 24))
     return ops.regular_batches(days, 8)
 
 
@@ -201,7 +201,7 @@ _GRID = f""", grid AS (SELECT series_id, seq, t_ns // {HOUR} * {HOUR} AS t_ns, v
 
 
 def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark, sf_dir).withColumn("t_ns", F.floor(F.col("t_ns") / HOUR).cast("long") * HOUR)
+    return samples(spark, sf_dir).withColumn("t_ns", floor_div(F.col("t_ns"), HOUR) * HOUR)
 
 
 @query(_GRID + f""" SELECT series_id, t_ns // {HOUR * 24} AS frame, t_ns // {HOUR * 24} * {HOUR * 24} AS t_ns, CAST(count(*) AS INT) AS n,
@@ -494,9 +494,9 @@ def fixed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _kind(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """One event type as a series on the hour grid, a sample per hour: the largest value."""
     rows = event_samples(read(spark, sf_dir, "events"), "event_type").where(F.col("series_id") == kind)
-    hour = (F.floor(F.col("t_ns") / HOUR).cast("long") * HOUR).alias("t_ns")
+    hour = (floor_div(F.col("t_ns"), HOUR) * HOUR).alias("t_ns")
     out = rows.groupBy("series_id", hour).agg(F.max("value").alias("value"))
-    return out.withColumn("seq", F.floor(F.col("t_ns") / HOUR).cast("long"))
+    return out.withColumn("seq", floor_div(F.col("t_ns"), HOUR))
 
 
 _KINDS = f"""WITH hours AS (SELECT event_type AS series_id, epoch_us(ts) * 1000 // {HOUR} * {HOUR} AS t_ns, max(CAST(value AS FLOAT)) AS value FROM events GROUP BY 1, 2),

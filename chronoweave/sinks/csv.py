@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import c_fixed
+from ..functions import c_fixed, floor_div
 from ..model import Dtype, StreamError
 
 #: Rows whose sizes are added up in one window partition.
@@ -59,7 +59,7 @@ def size_limited(lines: DataFrame, most_bytes: int, header: str | None = None, l
     """
     start = len((header + line_ending).encode()) if header is not None else 0
     size = F.octet_length("line") + len(line_ending.encode())
-    rows = lines.withColumn("cw_size", size).withColumn("cw_part", F.floor(F.col("seq") / SIZE_PART))
+    rows = lines.withColumn("cw_size", size).withColumn("cw_part", floor_div(F.col("seq"), SIZE_PART))
     sums = rows.groupBy("series_id", "cw_part").agg(F.sum("cw_size").alias("cw_sum"))
     before = Window.partitionBy("series_id").orderBy("cw_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("series_id", "cw_part", F.coalesce(F.sum("cw_sum").over(before), F.lit(0)).alias("cw_start"))

@@ -8,6 +8,7 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import floor_div
 from ..model import StreamError
 from ..operators.order import with_seq
 
@@ -41,7 +42,7 @@ def pattern_samples(spark: SparkSession, pattern: Pattern, n: int, period_ns: in
 
 def function_samples(spark: SparkSession, f: Callable[[Column], Column], n: int, rate_hz: int, series_id: str = "function") -> DataFrame:
     """``n`` samples of a column function of the sample number, at n * 1e9 / rate nanoseconds."""
-    t = F.floor(F.col("id") * 1_000_000_000 / rate_hz).cast("long")
+    t = floor_div(F.col("id") * 1_000_000_000, rate_hz)
     return spark.range(n).select(
         F.lit(series_id).alias("series_id"), F.col("id").alias("seq"), t.alias("t_ns"), F.lit(1_000_000_000 // rate_hz).cast("long").alias("period_ns"),
         f(F.col("id")).cast("float").alias("value"),
@@ -59,7 +60,7 @@ def variable_batches(spark: SparkSession, n: int, sizes: list[int], period_ns: i
         inside = inside + F.when(rest >= end, 1).otherwise(0)
         begin = F.when(rest >= end, end).otherwise(begin)
     out = _samples(spark.range(n), period_ns, F.col("id"))
-    batch = F.floor(F.col("seq") / ends[-1]) * len(sizes) + inside
+    batch = floor_div(F.col("seq"), ends[-1]) * len(sizes) + inside
     return out.withColumn("batch_id", batch.cast("long")).withColumn("pos", (rest - begin).cast("int"))
 
 

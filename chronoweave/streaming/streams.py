@@ -12,6 +12,7 @@ from pyspark.sql.datasource import DataSource, InputPartition, SimpleDataSourceS
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..functions import floor_div
 from ..operators.batching import RUNS, RunFold
 from ..operators.elementwise import map_samples
 from ..sources.signal import Waveform, check_signal, with_signal
@@ -68,7 +69,7 @@ def run_stream(stream: DataFrame, capacity: int = 64, detect: bool = True) -> Da
 
 def event_time_frames(stream: DataFrame, frame: str, late: str) -> DataFrame:
     """Counts and means of samples by event-time frame; samples that come later than ``late`` are dropped, and states with them."""
-    at = F.timestamp_micros(F.floor(F.col("t_ns") / 1000).cast("long"))
+    at = F.timestamp_micros(floor_div(F.col("t_ns"), 1000))
     timed = stream.withColumn("at", at).withWatermark("at", late)
     out = timed.groupBy(F.window("at", frame), "series_id").agg(F.count("*").alias("n"), F.avg(F.col("value").cast("double")).alias("mean"))
     return out.select("series_id", (F.unix_micros("window.start") * 1000).alias("t_ns"), "n", "mean")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave import operators as ops
-from chronoweave.functions import bits32, c_fixed, float_bits, hex32, human_time, narrow, number_text, split_time
+from chronoweave.functions import bits32, c_fixed, ceil_div, float_bits, floor_div, hex32, human_time, narrow, number_text, split_time
 from chronoweave.model import PROFILES, BufferConfig, Dtype, ErrorCode, Overflow, StreamError
 from chronoweave.operators.batching import RunFold
 
@@ -324,3 +324,12 @@ def test_times_and_narrowing(spark):
 def test_error_codes():
     assert ErrorCode.OK.value == 0 and ErrorCode.COMPLETE.value == 1 and len(ErrorCode) == 49
     assert StreamError("PHASE_ERROR", "x").code is ErrorCode.PHASE_ERROR
+
+
+def test_whole_division_beyond_doubles(spark):
+    big = 1_700_000_000_000_000_000
+    values = [(big * 5 + d,) for d in (-1, 0, 1)] + [(-1,), (-5,), (-6,), (0,), (4,), (5,)]
+    got = spark.createDataFrame(values, "x long").select("x", floor_div(F.col("x"), 5), ceil_div(F.col("x"), 5)).collect()
+    assert [tuple(r) for r in got] == [(x, x // 5, -(-x // 5)) for (x,) in values]
+    frames = ops.match_stamps(frame(spark, [("a", 0, 480 * 10**9 * 3_600_000 - 1, 1, 0.0)]), 60 * 10**9, 8, emit_partial=True)
+    assert frames.first().frame == 3_599_999
