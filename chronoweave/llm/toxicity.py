@@ -184,8 +184,9 @@ def logistic_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: i
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> ToxicityModel:
     """A model from labelled documents whose crc32 of doc_id is not divisible by five.
 
-    Labels are joined by doc_id; a bounded hash sample of each class goes to the driver: passages for
-    dictionaries from one half, and the evidence of whole texts, taken by the executors, from the other.
+    A bounded hash sample of each class's labels (about 4 * ``fit_docs`` ids in all, so they are broadcast and texts stay in place) is joined
+    by doc_id.  The driver gets passages for dictionaries from one half, and the evidence of whole texts, taken by the executors,
+    from the other.
     """
     known = labels.selectExpr("cast(doc_id as long) cw_id", "cast(toxic as int) cw_toxic").where("cw_toxic in (0, 1)")
     known = known.where(id_crc_mod("cw_id", 5) != 0).withColumn("cw_at", hash_fraction("cw_id"))
@@ -195,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Toxicit
         return ToxicityModel(prior=float(bool(n.get(1))))
     bound = F.when(F.col("cw_toxic") == 1, min(1.0, 2 * fit_docs / n[1])).otherwise(min(1.0, 2 * fit_docs / n[0]))
     chosen = known.where(F.col("cw_at") < bound).withColumn("cw_fit", F.xxhash64("cw_id", F.lit(7)) % 2 == 0)
-    texts = docs.selectExpr("cast(doc_id as long) cw_id", "text").where("text is not null").join(chosen, "cw_id")
+    texts = docs.selectExpr("cast(doc_id as long) cw_id", "text").where("text is not null").join(F.broadcast(chosen), "cw_id")
     start = (F.pmod(F.xxhash64("cw_id", F.lit(11)), F.greatest(F.lit(1), F.length("text") - PASSAGE)) + 1).cast("int")
     passages = texts.where("cw_fit").select("cw_toxic", F.substring("text", start, F.lit(PASSAGE)).alias("passage"))
     rows = sorted((r.cw_toxic, r.passage) for r in passages.collect())
