@@ -71,6 +71,11 @@ def human_time(t_ns: Column) -> Column:
     )
 
 
+def now_ns() -> Column:
+    """The time of the query in nanoseconds, to the microsecond."""
+    return F.unix_micros(F.current_timestamp()) * 1000
+
+
 def split_time(t_ns: Column) -> Column:
     """Seconds and nanoseconds of the second, for times before the epoch too."""
     rest = F.pmod(t_ns, F.lit(NS))

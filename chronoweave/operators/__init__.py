@@ -6,6 +6,7 @@ from .framing import align, align_regular, align_stats, check_phase, grid_time,
 from .joins import combine_channels, elementwise, fill_gaps, regularize, sample_and_hold, skew_sync, split_channels, time_window_sync
 from .order import first_rows, with_previous, with_seq
 from .routing import drop_stats, limit_samples, load_balance, overflow, overlap_batches, round_robin, route, tee, tee_union, write_counts
+from .spectrum import auto_scale, power_spectrum, signal_to_noise
 from .stats import counters, edges, latency, moving_average, rms, sequence_errors, timing_gaps, zero_crossings
 
 __all__ = [
@@ -15,5 +16,6 @@ __all__ = [
     "combine_channels", "elementwise", "fill_gaps", "regularize", "sample_and_hold", "skew_sync", "split_channels", "time_window_sync",
     "first_rows", "with_previous", "with_seq",
     "drop_stats", "limit_samples", "load_balance", "overflow", "overlap_batches", "round_robin", "route", "tee", "tee_union", "write_counts",
+    "auto_scale", "power_spectrum", "signal_to_noise",
     "counters", "edges", "latency", "moving_average", "rms", "sequence_errors", "timing_gaps", "zero_crossings",
 ]

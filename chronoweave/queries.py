@@ -569,3 +569,17 @@ def combine_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").withColumn("t_ns", F.col("l_orderkey"))
     return ops.split_channels(rows, ["l_quantity", "l_tax"])
+
+
+@query(""", ends AS (SELECT series_id, CAST(min(value) AS DOUBLE) AS lo, CAST(max(value) AS DOUBLE) AS hi FROM samples GROUP BY 1)
+    SELECT series_id, seq, CAST(-1.0::DOUBLE + coalesce((CAST(value AS DOUBLE) - lo) / CASE WHEN hi > lo THEN hi - lo END, 0.5::DOUBLE) * 2.0::DOUBLE AS FLOAT) AS value
+    FROM samples JOIN ends USING (series_id)""")
+def auto_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.auto_scale(samples(spark, sf_dir)).select("series_id", "seq", "value")
+
+
+@query("SELECT 'signal' AS series_id, CAST(i AS BIGINT) AS batch_id, 250.0::DOUBLE AS frequency_hz FROM range(10) r(i)", samples=False)
+def spectrum_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest frequency of frames of 128 samples of a 250 Hz wave."""
+    wave = signal_samples(spark, Waveform.TRIANGLE, 250.0, 1_000_000, 1280)
+    return ops.signal_to_noise(ops.power_spectrum(ops.to_batches(wave, 128))).select("series_id", "batch_id", "frequency_hz")

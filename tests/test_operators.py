@@ -333,3 +333,21 @@ def test_whole_division_beyond_doubles(spark):
     assert [tuple(r) for r in got] == [(x, x // 5, -(-x // 5)) for (x,) in values]
     frames = ops.match_stamps(frame(spark, [("a", 0, 480 * 10**9 * 3_600_000 - 1, 1, 0.0)]), 60 * 10**9, 8, emit_partial=True)
     assert frames.first().frame == 3_599_999
+
+
+def test_spectrum(spark):
+    import numpy as np
+
+    x = np.sin(2 * np.pi * 4 * np.arange(64) / 64) + 0.1 * np.cos(2 * np.pi * 9 * np.arange(64) / 64) + 3
+    df = frame(spark, [("a", i, i * MS, MS, float(v)) for i, v in enumerate(x)])
+    got = ops.power_spectrum(ops.to_batches(df, 64))
+    power = {r.bin: r.power for r in got.collect()}
+    assert power[0] == pytest.approx(9, abs=1e-5) and power[4] == pytest.approx(0.5, abs=1e-5) and power[9] == pytest.approx(0.005, abs=1e-5)
+    assert sum(power.values()) == pytest.approx(float((x**2).mean()), abs=1e-4)
+    best = ops.signal_to_noise(got).first()
+    assert best.frequency_hz == pytest.approx(62.5) and best.snr_db == pytest.approx(20, abs=0.01)
+
+
+def test_auto_scale(spark):
+    out = ops.auto_scale(frame(spark, [("a", i, i, 0, float(v)) for i, v in enumerate([2, 4, 6])] + [("b", 0, 0, 0, 9.0)]))
+    assert [x.value for x in out.orderBy("series_id", "seq").collect()] == [-1.0, 0.0, 1.0, 0.0]
