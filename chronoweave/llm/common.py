@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,23 +26,41 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/chronoweave-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, partition_hint: int | None = None) -> DataFrame:
+_folder: ContextVar[str | None] = ContextVar("chronoweave_scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside, but for those to keep, are deleted at the end: results have to be written before."""
+    path = shared_dir(spark)
+    token = _folder.set(path)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+        _delete(spark, path)
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
     """The frame as a written table in the shared folder: lineage is cut, and a lost executor costs no recomputation."""
-    path = shared_dir(df.sparkSession)
-    (df.coalesce(partition_hint) if partition_hint else df).write.option("compression", "zstd").parquet(path)
+    folder = None if keep else _folder.get()
+    path = f"{folder}/{uuid.uuid4().hex}" if folder else shared_dir(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._chronoweave_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_written(*frames: DataFrame | None) -> None:
     """Deletes tables made by :func:`written` that nothing will read again."""
     for df in frames:
-        path = getattr(df, "_chronoweave_path", None)
-        if path:
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path := getattr(df, "_chronoweave_path", None):
+            _delete(df.sparkSession, path)
 
 
 def id_crc_mod(column: str | Column, modulus: int) -> Column:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, scratch, written
 
 #: Similarity of links in hundredths, words of a shingle.
 PERCENT, WORDS = 75, 5
@@ -299,7 +299,12 @@ class _Linker:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+    """doc_id, n_shingles, component_id and kept of every row, as a written table; the tables made on the way are deleted."""
+    with scratch(docs.sparkSession):
+        return written(_judged(docs), keep=True)
+
+
+def _judged(docs: DataFrame) -> DataFrame:
     sketched = written(sketch_documents(docs))
     classes = sketched.where("n > 0").groupBy("set_id").agg(
         F.min_by(F.struct("cw_row", "doc_id"), F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "cw_row")).alias("first"), F.min("doc_id").alias("low")
