@@ -2,18 +2,22 @@
 
 A text becomes counts of hashed character n-grams (one to three letters, word ends included), damped by a logarithm, weighted
 by inverse document frequency and scaled to length one.  Each language has a few centroids, found by spherical k-means on its
-training texts; a text gets the language of the centroid with the largest cosine.  A text that is farther from all centroids
-than any training text of its length was from its own, by a wide margin, is rejected.
+training texts; a text gets the language of the centroid with the largest cosine.  A text is rejected if that cosine is below the
+floor of its language and length.  Floors come from cosines with centroids of texts that had no part in them (each half of the sample is
+judged by the other): a floor is what a share ``FOREIGN`` of texts of other languages stays below, but at most the quantile ``OWN`` of
+the language's own texts.  Whole texts and, so that short ones are known too, excerpts are judged.  Letters of the own texts in
+random order stand for other languages where only one is known.
 
 The fit uses at most ``FIT_DOCS`` rows of a language (a hash sample over the whole table) and ``FIT_ALL`` in all; prediction covers whole texts.
 
 Defined cases: null text and text without a letter is ``und`` with score 0, and rejected; with nothing to learn from, all
-rows are ``und``; ties go to the language first in order; rows with null doc_id are predicted and never learnt from;
+rows are ``und``; texts of fewer than 16 n-grams (four letters) are not rejected for their cosine; ties go to the language first in order; rows with null doc_id are predicted and never learnt from;
 repeated rows each give a row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,8 +31,11 @@ from .common import hash_fraction, id_crc_mod
 #: Hash buckets of n-grams; centroids of a language; bounds of the training sample.
 BITS, CENTROIDS = 13, 4
 FIT_DOCS, FIT_ALL = 800, 12_800
-#: A text is rejected if its cosine is below this part of the least that training texts of its length showed: only text unlike all languages.
-MARGIN = 0.2
+#: Floors: the quantile of a language's own texts; shares of other languages' texts from so many n-grams on (the shorter, the less a cosine proves).
+OWN, FOREIGN = 0.01, ((128, 0.95), (64, 0.5), (0, 0.05))
+#: Characters of excerpts, and rows up to which a language's texts give one of every length; length classes, and rows that a class has to have
+#: for a floor of its own (else it takes that of the next shorter one).
+EXCERPTS, FEW, CLASSES, ENOUGH = (8, 20, 45, 80, 300), 300, 24, 10
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -65,7 +72,7 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
 
 @dataclass
 class LanguageModel:
-    """Centroids (rows of length one), the language of each, n-gram weights, and by length class the least cosine accepted."""
+    """Centroids (rows of length one), the language of each, n-gram weights, and by centroid and length class the least cosine accepted."""
 
     languages: list[str] = field(default_factory=list)
     centroids: np.ndarray | None = None
@@ -84,12 +91,33 @@ class LanguageModel:
         cosines = self.centroids @ self.vector(counts)
         best = int(cosines.argmax())
         score = min(1.0, max(0.0, float(cosines[best])))
-        return self.languages[best], score, score < self.floors[length_class(counts)]
+        return self.languages[best], score, bool(score < self.floors[best, length_class(counts)])
 
 
 def length_class(counts: np.ndarray) -> int:
-    """Texts of like numbers of n-grams: powers of four."""
-    return min(15, int(np.log2(max(1, counts.sum()))) // 2)
+    """Texts of like numbers of n-grams: powers of two."""
+    return min(CLASSES - 1, int(np.log2(max(1, counts.sum()))))
+
+
+def excerpts(text: str, every: bool) -> Iterator[tuple[str, str]]:
+    """Parts of a text, of every length or of one that varies from text to text, and the same letters in random order."""
+    random = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace")))
+    for size in EXCERPTS if every else (EXCERPTS[random.integers(len(EXCERPTS))],):
+        start = int(random.integers(max(1, len(text) - size + 1)))
+        part = text[start : start + size]
+        yield part, "".join(part[i] for i in random.permutation(len(part)))
+
+
+def floors_of(own: list[tuple[int, float]], foreign: list[tuple[int, float]]) -> np.ndarray:
+    """The least accepted cosine of each length class, from (class, cosine) of a language's own and of other texts."""
+    floors, before = np.zeros(CLASSES), 0.0
+    for c in range(CLASSES):
+        mine, others = ([x for k, x in side if k == c] for side in (own, foreign))
+        if min(len(mine), len(others)) >= ENOUGH:
+            share = next(p for n, p in FOREIGN if 1 << c >= n)
+            before = min(float(np.quantile(mine, OWN)), float(np.quantile(others, share)))
+        floors[c] = before
+    return floors
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -121,45 +149,60 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_all: int = FIT_ALL, centr
     if not n:
         return LanguageModel()
     each = max(1, min(fit_docs, fit_all // len(n)))
+    sampled = pa.schema([("cw_lang", pa.string()), ("kind", pa.int32()), ("fold", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
     rate = F.element_at(F.create_map(*(F.lit(v) for lang, k in n.items() for v in (lang, min(1.0, each / k)))), F.col("cw_lang"))
     sample = known.where(hash_fraction("cw_id", "cw_lang") < rate).select("cw_lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(lang, counts) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if (counts := ngram_counts(t.as_py())) is not None]
-            at = [np.flatnonzero(c).astype(np.int32) for _, c in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang for lang, _ in rows], pa.string()),
-                    pa.array([i.tobytes() for i in at], pa.binary()),
-                    pa.array([c[i].astype(np.int32).tobytes() for i, (_, c) in zip(at, rows, strict=True)], pa.binary()),
-                ],
-                ["cw_lang", "at", "n"],
-            )
-
-    rows = sorted((r.cw_lang, bytes(r.at), bytes(r.n)) for r in sample.mapInArrow(run, "cw_lang string, at binary, n binary").collect())
+            rows = []
+            for lang, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                fold = zlib.crc32((text := value.as_py()).encode("utf-8", "replace")) & 1  # copies of a text are in one half
+                parts = [(0, text)]
+                for part, shuffled in excerpts(text, n[lang] <= FEW):
+                    parts += [(1, part), (2, shuffled)] if len(n) == 1 else [(1, part)]
+                for kind, part in parts:
+                    if (counts := ngram_counts(part)) is not None:
+                        at = np.flatnonzero(counts).astype(np.int32)
+                        rows.append((lang, kind, fold, at.tobytes(), counts[at].astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_pylist([dict(zip(sampled.names, row, strict=True)) for row in rows], sampled)
+
+    found = sample.mapInArrow(run, "cw_lang string, kind int, fold int, at binary, n binary").collect()
+    found = sorted((r.cw_lang, r.kind, r.fold, bytes(r.at), bytes(r.n)) for r in found)
+    rows = [r for r in found if r[1] == 0]
     if not rows:
         return LanguageModel()
-    counts = np.zeros((len(rows), 1 << BITS), np.float32)
-    for i, (_, at, c) in enumerate(rows):
-        counts[i, np.frombuffer(at, np.int32)] = np.frombuffer(c, np.int32)
-    model = LanguageModel(weights=np.log((len(rows) + 1) / ((counts > 0).sum(0) + 1)).astype(np.float32) + 1)
-    classes = np.array([length_class(c) for c in counts])
-    vectors = np.stack([model.vector(c) for c in counts])
-    owners = np.array([lang for lang, *_ in rows])
-    found = []
-    lowest = np.ones(16)
-    for lang in sorted(set(owners.tolist())):
-        mine = owners == lang
-        centres = spherical_kmeans(vectors[mine], centroids)
-        found.append(centres)
-        model.languages += [lang] * len(centres)
-        np.minimum.at(lowest, classes[mine], (vectors[mine] @ centres.T).max(1))
-    model.centroids = np.concatenate(found).astype(np.float32)
-    # A longer text is not nearer by right: each class takes the least of its own and all longer ones, times the margin.
-    lowest[classes.max() + 1 :] = lowest[classes.max()]
-    model.floors = np.minimum.accumulate(lowest[::-1])[::-1] * MARGIN
-    model.floors[:3] = 0.0  # a few letters prove nothing
+
+    def dense(at: bytes, times: bytes) -> np.ndarray:
+        counts = np.zeros(1 << BITS, np.float32)
+        counts[np.frombuffer(at, np.int32)] = np.frombuffer(times, np.int32)
+        return counts
+
+    seen = np.zeros(1 << BITS)
+    for *_, at, _ in rows:
+        seen[np.frombuffer(at, np.int32)] += 1
+    model = LanguageModel(weights=np.log((len(rows) + 1) / (seen + 1)).astype(np.float32) + 1)
+    vectors = np.stack([model.vector(dense(at, times)) for *_, at, times in rows])
+    owners, folds = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    languages = sorted(set(owners.tolist()))
+    centres, halves = [], {}
+    for lang in languages:
+        centres.append(spherical_kmeans(vectors[owners == lang], centroids))
+        for fold in (0, 1):
+            if (others := (owners == lang) & (folds != fold)).any():
+                halves[lang, fold] = spherical_kmeans(vectors[others], centroids)
+    del vectors
+    own, foreign = ({lang: [] for lang in languages} for _ in range(2))
+    for owner, kind, fold, at, times in found:
+        counts = dense(at, times)
+        vector, size = model.vector(counts), length_class(counts)
+        for lang in languages:
+            if (lang, fold) in halves:
+                (own if lang == owner and kind < 2 else foreign)[lang].append((size, float((halves[lang, fold] @ vector).max())))
+    model.languages = [lang for lang, c in zip(languages, centres, strict=True) for _ in c]
+    model.centroids = np.concatenate(centres).astype(np.float32)
+    floors = {lang: floors_of(own[lang], foreign[lang]) for lang in languages}
+    model.floors = np.stack([floors[lang] for lang in model.languages])
     return model
 
 

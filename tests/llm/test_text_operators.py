@@ -190,6 +190,31 @@ def test_other_alphabets_are_rejected(spark, docs):
     assert langid.identify(far, model).first().rejected
 
 
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+]
+
+
+def test_unknown_languages_and_noise_are_rejected(docs):
+    model, r = langid.fit(docs), random.Random(4)
+    letters = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n)) for n in (60, 200, 1000)]
+    coded = [base64.b64encode(r.randbytes(n)).decode() for n in (300, 3000)]
+    rejected = {t[:20]: model.predict(t)[2] for t in [*FOREIGN, *letters, *coded, "Ωμέγα άλφα"]}
+    assert all(rejected.values()), rejected
+    assert model.predict("two words")[2] is False
+
+
+def test_one_outlier_sets_no_floor_and_one_language_has_floors(spark, docs):
+    english = docs.where("lang = 'en'").select("doc_id", "lang", "text")
+    odd = spark.createDataFrame([(900_000, "en", "漢字仮名交じり文 " * 40), (900_002, "en", "漢字仮名交じり文 " * 41)], english.schema)
+    for model in (langid.fit(english), langid.fit(docs.select("doc_id", "lang", "text").union(odd))):
+        assert model.predict("xqjz vkwq " * 60)[2] and model.predict("Ωμέγα άλφα βήτα " * 40)[2]
+        assert not any(model.predict(r.text)[2] for r in english.collect())
+
+
 def test_kmeans_finds_separate_groups():
     x = np.repeat(np.eye(4), 10, axis=0) + 0.01 * np.random.default_rng(0).random((40, 4))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
