@@ -1,9 +1,11 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries hold text of the two classes: the ordinary one is trained on windows of ordinary text; the
-toxic one holds the same and, before it, the word stems that labelled toxic text uses far more often than ordinary text.
-A window (one word after a mark, so that matches begin where words do, and a fixed tail that both dictionaries know, because
-zstandard looks for no match in the last bytes of a block) is compressed with either.  What the toxic dictionary saves on it is its gain; windows that hold
+toxic one holds the same and, before it, what labelled toxic text uses far more often than ordinary text: stems of words, whole
+words of two or three letters, parts from inside words and pairs of words.  If these are too many for one dictionary there are several, and the best counts.
+A window (one word after a mark, so that matches begin where words do, and a fixed tail that all dictionaries know, because
+zstandard looks for no match in the last bytes of a block) is compressed with each.  Words with digits or signs inside are windows as they stand, besides
+their pieces; long runs of letters are cut into windows that overlap; pairs of words are windows if they were learnt.  What the toxic dictionary saves on it is its gain; windows that hold
 no toxic stem have a gain near zero.  A text's evidence is the number and sum of gains that reach the calibrated
 thresholds, by themselves and per window.  A logistic model of that evidence, fitted on labelled texts that the dictionaries
 have not seen, gives the score.
@@ -11,7 +13,7 @@ have not seen, gives the score.
 The fit uses at most ``FIT_DOCS`` labelled rows of each class for dictionaries (a passage of at most ``PASSAGE`` characters of
 each) and as many whole texts for calibration; scoring covers all windows of all texts.
 
-Defined cases: null and empty texts have no window and get the score of no evidence; texts of any length are read whole;
+Defined cases: a word of a single byte is no evidence by itself (in a pair it is); null and empty texts have no window and get the score of no evidence; texts of any length are read whole;
 with no labelled rows of one class the score is the share of toxic labels (0 without labels) for all rows; repeated
 rows each give a row; null doc_ids are scored, and never learnt from; other columns are ignored.
 """
@@ -36,49 +38,83 @@ from .common import hash_fraction, id_crc_mod
 FIT_DOCS, PASSAGE = 3000, 2048
 #: A stem has this many characters at least, and is so many times likelier in toxic text at least.
 SHORTEST, TIMES = 4, 20.0
+#: Bytes of parts learnt from inside words (zstandard has no shorter match); longest windows, of which each next one begins half a window later.
+INNER, LONGEST = (6, 12), 48
 #: Bytes of ordinary text and of stems in a dictionary.
 ORDINARY_BYTES, STEM_BYTES = 2048, 2048
-#: The bytes before each word, in windows and dictionaries, and the bytes of the fixed tail.
-MARK, TAIL = b"\x01\x01", 24
+#: The bytes before each word, in windows and dictionaries, those after a short whole word, and the bytes of the fixed tail.
+MARK, END, TAIL = b"\x01\x01", b"\x04\x04", 24
 #: Distinct windows whose gains a Python worker remembers; the memory is emptied beyond that.
 REMEMBERED = 600_000
 
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def windows(text: str | None) -> list[bytes]:
-    """The words of a text in lower case and UTF-8; everything of ASCII but letters separates."""
-    return text.lower().encode().translate(_LETTERS).split() if text else []
+_SIGNED = re.compile(
+    rb"[0-9$@*#]*[a-z\x80-\xff]+(?:[!-@\[-`{-~]+[a-z\x80-\xff]+)+[0-9$@*#]*|[0-9$@*#]+[a-z\x80-\xff]+[0-9$@*#]*|[a-z\x80-\xff]+[0-9$@*#]+"
+)
+#: In names of windows and stems: after a short whole word, before what begins inside a word, between the words of a pair.
+_END, _INSIDE, _PAIR = b"\x01", b"\x02", b"\x03"
+#: Pairs are written in other bytes, so that ordinary text that has both words saves nothing on them.
+_TURNED = bytes(c ^ 0x80 for c in range(256))
 
 
-def _stem_counts(passages: list[list[bytes]]) -> tuple[Counter, int]:
-    """How often each beginning of a word occurs between different neighbours, at most twice a passage; and all occurrences."""
-    counts, seen, total = Counter(), set(), 0
+def windows(text: str | None) -> list[bytes]:
+    """The words of a text in lower case and UTF-8, cut at everything of ASCII but letters, and then the words that have digits or signs inside."""
+    if not text:
+        return []
+    raw = text.lower().encode("utf-8", "replace")
+    words = raw.translate(_LETTERS).split() + _SIGNED.findall(raw)
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out = []
+    for w in words:
+        out.append(w[:LONGEST])
+        out += [_INSIDE + w[i : i + LONGEST] for i in range(LONGEST // 2, len(w) - LONGEST // 2, LONGEST // 2)]
+    return out
+
+
+def _stems(word: bytes) -> Iterator[bytes]:
+    """What may be learnt from a word: its beginnings, the whole of a short one, and parts from inside."""
+    inside = word.startswith(_INSIDE)
+    word = word[1:] if inside else word
+    if not inside:
+        if 2 <= len(word) < SHORTEST:
+            yield word + _END
+        for n in range(SHORTEST, len(word) + 1):
+            yield word[:n]
+    for i in range(0 if inside else 1, len(word) - INNER[0] + 1):
+        for n in range(INNER[0], min(INNER[1], len(word) - i) + 1):
+            yield _INSIDE + word[i : i + n]
+
+
+def _stem_counts(passages: list[list[bytes]], wanted: Counter | None = None) -> tuple[Counter, Counter, int]:
+    """How often each stem and each pair of words occurs between different neighbours, at most twice a passage; and all words.
+
+    Pairs are of words that many passages have; with ``wanted`` only its pairs are counted.
+    """
+    counts, pairs, seen, total = Counter(), Counter(), set(), 0
+    common = Counter(w for words in passages for w in set(words)) if wanted is None else {}
     for words in passages:
         here: Counter = Counter()
-        for around in zip(words, words[1:], words[2:], strict=False):
+        both: Counter = Counter()
+        for around in zip([b"", *words], words, [*words[1:], b""], strict=False):
             if around in seen:
                 continue
             seen.add(around)
             total += 1
-            word = around[1]
-            for n in range(SHORTEST, len(word) + 1):
-                here[word[:n]] += here[word[:n]] < 2
+            for stem in _stems(around[1]):
+                here[stem] += here[stem] < 2
+            pair = around[1] + _PAIR + around[2]
+            if pair in wanted if wanted is not None else common[around[1]] >= 3 and common[around[2]] >= 3:
+                both[pair] += both[pair] < 2
         counts.update(here)
-    return counts, total
-
+        pairs.update(both)
+    return counts, pairs, total
 
-def toxic_stems(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """Stems that are typical of toxic passages, the surest first.
 
-    A stem counts if its share of toxic occurrences is beyond chance (log likelihood against the share of all words, over the
-    logarithm of the number of stems tried) and ``TIMES`` its ordinary rate.  Of stems that begin alike the longest with
-    nearly the same count is kept.
-    """
-    counts, n_toxic = _stem_counts(toxic)
-    other, n_ordinary = _stem_counts(ordinary)
-    if not n_toxic or not n_ordinary:
-        return []
+def _sure(counts: Counter, other: Counter, n_toxic: int, n_ordinary: int) -> dict[bytes, float]:
+    """Stems beyond chance (log likelihood against the share of all words, over the logarithm of the number of stems tried) and ``TIMES`` the ordinary rate."""
     tried = [s for s, k in counts.items() if k >= 3]
     share, least = n_toxic / (n_toxic + n_ordinary), math.log(len(tried) + 1) + 3
     sure = {}
@@ -87,23 +123,52 @@ def toxic_stems(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[b
         likelihood = k * math.log(k / (k + o) / share) + (o * math.log(o / (k + o) / (1 - share)) if o else 0)
         if k / n_toxic >= TIMES * o / n_ordinary and likelihood >= least:
             sure[stem] = likelihood
+    return sure
+
+
+def toxic_stems(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """Stems and pairs of words that are typical of toxic passages, the surest first.
+
+    Of stems that begin alike the longest with nearly the same count is kept; a part from inside a word counts unless a kept
+    stem has it, and a pair unless one of its words has a kept stem.
+    """
+    counts, pairs, n_toxic = _stem_counts(toxic)
+    pairs = Counter({p: k for p, k in pairs.items() if k >= 3})
+    other, other_pairs, n_ordinary = _stem_counts(ordinary, pairs)
+    if not n_toxic or not n_ordinary:
+        return []
     kept: dict[bytes, float] = {}
-    for stem in sorted(sure, key=lambda s: (len(s), s)):
-        shorter = [stem[:n] for n in range(SHORTEST, len(stem)) if stem[:n] in kept]
-        if any(counts[stem] < 0.9 * counts[s] for s in shorter):
-            continue
-        for s in shorter:
-            del kept[s]
-        kept[stem] = sure[stem]
+    for inside in (False, True):
+        family = Counter({s: k for s, k in counts.items() if k >= 3 and s.startswith(_INSIDE) == inside})
+        sure = _sure(family, other, n_toxic, n_ordinary)
+        mine: dict[bytes, float] = {}
+        for stem in sorted(sure, key=lambda s: (len(s), s)):
+            shorter = [stem[:n] for n in range(SHORTEST, len(stem)) if stem[:n] in mine]
+            if any(counts[stem] < 0.9 * counts[s] for s in shorter):
+                continue
+            for s in shorter:
+                del mine[s]
+            mine[stem] = sure[stem]
+        text = b"\n".join(kept)
+        for stem in sorted(mine, key=lambda s: (-len(s), -mine[s], s)) if inside else mine:
+            if inside and stem[1:] in text:
+                continue
+            kept[stem] = mine[stem]
+            text += b"\n" + stem if inside else b""
+    for pair, likelihood in _sure(pairs, other_pairs, n_toxic, n_ordinary).items():
+        if not any(stem in kept for word in pair.split(_PAIR) for stem in _stems(word)):
+            kept[pair] = likelihood
     return sorted(kept, key=lambda s: (-kept[s], s))
 
 
 @dataclass
 class ToxicityModel:
-    """Two dictionaries, thresholds of a window's gain, and weights of the evidence.  ``prior`` is the score without a fit."""
+    """Dictionaries (``more`` are further toxic ones), the pairs of words learnt, thresholds of a window's gain, and weights of the evidence.  ``prior`` is the score without a fit."""
 
     ordinary: bytes = b""
     toxic: bytes = b""
+    more: tuple[bytes, ...] = ()
+    pairs: frozenset[bytes] = frozenset()
     thresholds: tuple[int, ...] = (2, 3)
     weights: list[float] = field(default_factory=list)
     prior: float = 0.0
@@ -129,16 +194,19 @@ class ToxicityModel:
                 zstandard.ZstdCompressor(
                     dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=settings
                 )
-                for d in (self.ordinary, self.toxic)
+                for d in (self.ordinary, self.toxic, *self.more)
             ]
         tail = b"\n" + self.ordinary[-TAIL:]
-        blocks = [MARK + w + tail for w in new]
-        plain, toxic = (c.multi_compress_to_buffer(blocks) for c in self._compressors)
-        self._gains.update((w, len(a) - len(b)) for w, a, b in zip(new, plain, toxic, strict=True))
+        blocks = [MARK + w + (END if len(w) < SHORTEST else b"") + tail for w in new]
+        plain, *toxic = ([len(b) for b in c.multi_compress_to_buffer(blocks)] for c in self._compressors)
+        best = toxic[0] if len(toxic) == 1 else map(min, *toxic)
+        self._gains.update((w, a - b) for w, a, b in zip(new, plain, best, strict=True))
 
     def evidence(self, text: str | None) -> list[float]:
         """What the windows of a whole text say: by threshold the number and sum of gains, by themselves and per window."""
         words = windows(text)
+        if self.pairs:
+            words += [pair.translate(_TURNED) for a, b in zip(words, words[1:], strict=False) if (pair := a + _PAIR + b) in self.pairs]
         gains = self._gains
         distinct = set(words)
         new = [w for w in distinct if w not in gains]
@@ -227,14 +295,18 @@ def _with_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) ->
         common = zstandard.train_dictionary(8 * ORDINARY_BYTES, samples).as_bytes()[-ORDINARY_BYTES:]
     except zstandard.ZstdError:  # too few samples to train on: the text itself
         common = b"".join(samples)[-ORDINARY_BYTES:]
-    common = common.rjust(TAIL, b"#")
-    special, size = [], 0
+    common = MARK + common.rjust(TAIL, b"#")
+    groups, size = [[]], 0
     for stem in stems:
-        if size + len(MARK + stem) > STEM_BYTES:
-            break
-        special.append(MARK + stem)
-        size += len(MARK + stem)
-    return ToxicityModel(ordinary=common, toxic=b"".join(special) + MARK + common)
+        stem = stem.translate(_TURNED) if _PAIR in stem else stem
+        entry = stem[1:] if stem.startswith(_INSIDE) else MARK + stem.replace(_END, END)
+        if size + len(entry) > STEM_BYTES and groups[-1]:
+            groups.append([])
+            size = 0
+        groups[-1].append(entry)
+        size += len(entry)
+    first, *more = (b"".join(entries) + common for entries in groups)
+    return ToxicityModel(ordinary=common, toxic=first, more=tuple(more), pairs=frozenset(s for s in stems if _PAIR in s))
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -254,6 +254,42 @@ def test_toxic_texts_are_found(toxic_world):
     assert kept == {r.doc_id for r in rows if not r.predicted}
 
 
+@pytest.mark.parametrize(
+    "marks", [["zuq"], ["f*qk", "k1lj"], ["night watch"], ["alpha" * 3 + "grumphole"], [f"{a}{b}{c}x" for a in "qjkwyzh" for b in "aeiou" for c in ["brt", "ndk", "vvl", "mpt", "sks", "ghr", "ffd", "tzl", "rxw", "cqp", "ybn", "dhg"]]]
+)
+def test_all_kinds_of_toxic_words_are_found(marks):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("ba de fi go lu ma ne pi ro su ta ve wi xo".split()) for _ in range(r.randint(1, 4)))
+    inner = "grumphole" in marks[0]
+
+    def text(toxic):
+        words = [r.choice(["night", "watch", word(), word(), word(), word()]) for _ in range(30)]
+        words = [w for a, w in zip(["", *words], words) if a != "night" or w != "watch" and w != "night"]
+        words = [w if a != "night" or w != "watch" else "ba" for a, w in zip(["", *words], words)]
+        for _ in range((3, 8)[len(marks) > 9] if toxic else 0):
+            words.insert(r.randrange(len(words)), word() + word() + "grumphole" if inner else r.choice(marks))
+        return " ".join(words)
+
+    by_class = [[toxicity.windows(text(toxic)) for _ in range(3000 if len(marks) > 9 else 600)] for toxic in (False, True)]
+    model = toxicity._with_dictionaries(by_class[1], by_class[0])
+    seen = [[model.evidence(text(toxic)) for _ in range(200)] for toxic in (False, True)]
+    model.weights = toxicity.logistic_weights(np.array(seen[0] + seen[1]), np.repeat([0.0, 1.0], 200))
+    for toxic in (False, True):
+        assert sum((model.score(model.evidence(text(toxic))) >= 0.5) == toxic for _ in range(200)) >= 190
+    if len(marks) > 9:
+        assert model.more and sum(any(m.encode()[:5] in d for d in (model.toxic, *model.more)) for m in marks) >= 0.98 * len(marks)
+
+
+def test_toxic_words_in_text_without_spaces():
+    r = random.Random(10)
+    run = lambda toxic: "".join(r.choice("的一是不了人我在有他这中大来上国") for _ in range(r.randint(30, 60))) + ("毒害" * toxic) + "".join(r.choice("的一是不了人我在有他这中大来上国") for _ in range(r.randint(30, 60)))
+    by_class = [[toxicity.windows(run(toxic)) for _ in range(300)] for toxic in (0, 1)]
+    model = toxicity._with_dictionaries(by_class[1], by_class[0])
+    seen = [[model.evidence(run(toxic)) for _ in range(100)] for toxic in (0, 1)]
+    model.weights = toxicity.logistic_weights(np.array(seen[0] + seen[1]), np.repeat([0.0, 1.0], 100))
+    assert sum((model.score(model.evidence(run(i % 2))) >= 0.5) == i % 2 for i in range(200)) >= 190
+
+
 def test_test_tables(docs, labels):
     model = toxicity.fit(docs, labels)
     truth = {r.doc_id: r.toxic for r in labels.collect()}
