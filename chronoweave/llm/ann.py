@@ -12,7 +12,7 @@ blocks of about ``BLOCK`` vectors, so a hot one is spread over many tasks.  In a
 meet its vectors as matrices.
 
 Defined cases: vectors null, empty, of length zero, or with null or non-finite components, and rows with a null vec_id, take no part; a
-vector is never its own neighbour (rows with the query's vec_id); ties go to the smaller vec_id; fewer candidates than k give fewer rows;
+vector is never its own neighbour (rows with the query's vec_id); rows that repeat a vec_id are one candidate with the best of their scores; ties go to the smaller vec_id; fewer candidates than k give fewer rows;
 vectors of another dimension than the most common one take no part; an empty table gives no rows; other columns are ignored.
 """
 

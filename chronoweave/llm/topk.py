@@ -3,14 +3,14 @@
 Vectors are quantised to integers.  A block of rows has a sorted list for each component.  For a query each list is read from its best
 end (the end depends on the sign of the query's component), all lists to the same depth.  A row's score is known in the
 components read so far; in the others it lies between the list's worst value and the last value read.  Rows whose upper bound falls below
-the k-th largest lower bound, or below the k-th score of blocks read before, are dropped; rows that no list has shown yet have the sum of
+the k-th largest lower bound of different ids, or below the k-th score of blocks read before, are dropped; rows that no list has shown yet have the sum of
 the last values as their bound.  Reading stops when few rows can still qualify; their final scores are then resolved.
 
 The stated queries meet all rows in blocks: each task gets a block of queries and a stripe of row blocks, and holds one row block
 at a time.  Row blocks are sent once for each block of ``QUERIES`` queries.
 
 Defined cases: vectors null, empty or with null or non-finite components, and rows with a null vec_id, take no part; a row is not a
-candidate of the query with its vec_id; ties go to the smaller vec_id; fewer candidates than k give fewer rows; vectors of another
+candidate of the query with its vec_id; rows that repeat a vec_id are one candidate with the best of their scores; ties go to the smaller vec_id; fewer candidates than k give fewer rows; vectors of another
 dimension than the most common one take no part; quantised components beyond ±2^28 are taken as ±2^28; an empty table gives no rows;
 other columns are ignored.
 """
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import Best, matrix, ranked, usable
+from .vectors import Best, best_of_each, matrix, ranked, usable
 
 #: Rows of a block, row blocks of a stripe, queries of a block.
 ROWS, STRIPE, QUERIES = 4096, 4, 256
@@ -47,7 +47,7 @@ class SortedBlock:
         self.largest = int(np.abs(rows).max(initial=0))
 
     def best(self, query: np.ndarray, own: int, k: int, least: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of all rows that can be among the ``k`` best, given that only scores of at least ``least`` count.
+        """Ids and scores of all rows that can be among those of the ``k`` best ids, given that only scores of at least ``least`` count.
 
         To a depth of its list a component's values from the last one up are read.  So a row's upper bound is the sum of the
         larger of its value and the last one, and its lower bound that of its read values and the worst of the other lists.
@@ -70,6 +70,7 @@ class SortedBlock:
                     lower = np.where(known >= last, known, worst).sum(axis=1)
                     if alive is None:
                         lower[self.ids == own] = -(1 << 31) if small else -(1 << 62)  # the query's own row bounds nothing
+                    lower = best_of_each(self.ids if alive is None else self.ids[alive], lower)[1]
                     if len(lower) > k:
                         bound = int(np.partition(lower, len(lower) - k)[len(lower) - k])
                 if bound is not None:
@@ -158,7 +159,8 @@ def top_products(table: DataFrame, queries: DataFrame, k: int = 5, scale: float
                 block = SortedBlock(ids, rows)
                 for q, (own, vector) in enumerate(zip(asked_ids, asked_rows, strict=True)):
                     vec, score = block.best(vector, own, k, least.get(q))
-                    order = np.lexsort((vec, -score))[: k]
+                    vec, score = best_of_each(vec, score)  # before the cut: copies take no places
+                    order = np.lexsort((vec, -score))[:k]
                     best.add(np.full(len(order), own), vec[order], score[order])
                     if len(order) == k:
                         least[q] = max(least.get(q, int(score[order[-1]])), int(score[order[-1]]))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 def usable(table: DataFrame) -> DataFrame:
     """vec_id and vector (doubles) of the rows whose vector is neither null nor empty nor holds null or non-finite components.
 
-    Rows with a null vec_id take no part.  Rows that repeat a vec_id are candidates each.
+    Rows with a null vec_id take no part.  Rows that repeat a vec_id are one candidate, whose score is the best of them.
     """
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -53,18 +53,30 @@ class Best:
         if not self.parts:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         query, vec, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.lexsort((vec, -score, query))
+        order = np.lexsort((-score, vec, query))
         query, vec, score = query[order], vec[order], score[order]
         fresh = np.append(True, (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])) if len(query) else np.empty(0, bool)
         query, vec, score = query[fresh], vec[fresh], score[fresh]
+        order = np.lexsort((vec, -score, query))
+        query, vec, score = query[order], vec[order], score[order]
         first = np.append(True, query[1:] != query[:-1]) if len(query) else np.empty(0, bool)
         begin = np.maximum.accumulate(np.where(first, np.arange(len(query)), 0)) if len(query) else np.empty(0, np.int64)
         near = np.arange(len(query)) - begin < self.k
         return query[near], vec[near], score[near]
 
 
+def best_of_each(vec: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and of each the best of its scores (the last axis is by row)."""
+    order = np.argsort(vec, kind="stable")
+    first = np.flatnonzero(np.append(True, vec[order][1:] != vec[order][:-1])) if len(vec) else np.empty(0, np.int64)
+    if len(first) == len(vec):
+        return vec, score
+    return vec[order[first]], np.maximum.reduceat(score[..., order], first, axis=-1)
+
+
 def top_rows(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a score matrix (queries by rows; -inf where a pair takes no part) the pairs that can be among a query's ``k`` best, ties included."""
+    """Of a score matrix (queries by rows; -inf where a pair takes no part) the pairs that can be among a query's ``k`` best ids, ties included."""
+    vec, score = best_of_each(vec, score)
     if score.shape[1] > k:
         least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
         q, v = np.nonzero((score >= least[:, None]) & (score > -np.inf))

@@ -77,6 +77,30 @@ def test_few_candidates_and_repeated_rows(spark):
     assert ranked(topk.top_products(t, t.where("vec_id = 0")))[0] == [(1, 65536)]
 
 
+@pytest.mark.parametrize("size", [4096, 16])
+def test_repeated_rows_take_no_places(spark, monkeypatch, size):
+    monkeypatch.setattr(topk, "ROWS", size)
+    monkeypatch.setattr(ann, "BLOCK", size)
+    r = np.random.default_rng(5)
+    rows = [(i, r.integers(-8, 9, 6).tolist()) for i in range(60)]
+    rows += [(i, v) for i, v in rows[:30] for _ in range(7)]  # copies, more than k
+    rows += [(i, r.integers(-8, 9, 6).tolist()) for i in range(10, 60) for _ in range(3)]  # one id, other vectors
+    rows = [(i, [float(x) for x in v]) for i, v in rows]
+    t = table(spark, rows).repartition(3)
+    asked = [x for x in rows if x[0] in (0, 3, 7)]
+    products = brute([(i, [256 * x for x in v]) for i, v in rows], asked, 5, lambda a, b: int(a @ b))
+    assert ranked(topk.top_products(t, t.where("vec_id in (0, 3, 7)"))) == products
+    got, near = ranked(ann.nearest(t, t.where("vec_id in (0, 3, 7)"), chance=1.0)), brute(rows, asked, 5, cosine)
+    for q in near:
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in near[q]], abs=1e-12) and len({i for i, _ in got[q]}) == 5
+
+
+def test_best_counts_an_id_once():
+    best = Best(3)
+    best.add(np.array([7] * 5), np.array([1, 2, 1, 2, 3]), np.array([9.0, 8.0, 7.0, 6.0, 5.0]))
+    assert best.cut()[1].tolist() == [1, 2, 3]
+
+
 def test_recall_and_exact_scores(spark, data):
     t = spark.read.parquet(f"{data}/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in t.collect()]
