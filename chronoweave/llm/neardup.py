@@ -134,8 +134,8 @@ def _linked(n_x: int, n_y: int, common: int) -> bool:
     return 100 * common >= PERCENT * (n_x + n_y - common)
 
 
-def sketch_documents(docs: DataFrame) -> DataFrame:
-    """cw_row, doc_id, n, set_id (128 bits) and sketch of every row; sketch is null for empty sets."""
+def sketch_documents(docs: DataFrame, numbered: bool = False) -> DataFrame:
+    """cw_row (of ``docs`` if ``numbered``), doc_id, n, set_id (128 bits) and sketch of every row; sketch is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -146,14 +146,14 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                 sizes.append(len(s))
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sketches.append(registers(s).tobytes() if len(s) else None)
-            rows = np.arange(row, row + len(sizes), dtype=np.int64)
+            rows = batch.column(2).to_numpy() if numbered else np.arange(row, row + len(sizes), dtype=np.int64)
             row += len(sizes)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows), batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sketches, pa.binary())],
                 ["cw_row", "doc_id", "n", "set_id", "sketch"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "cw_row long, doc_id long, n long, set_id binary, sketch binary")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text", *(["cw_row"] if numbered else [])).mapInArrow(run, "cw_row long, doc_id long, n long, set_id binary, sketch binary")
 
 
 def _compared(pairs: DataFrame, values: DataFrame, keep: Callable[[bytes, int, bytes, int], bool]) -> DataFrame:
@@ -304,8 +304,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return written(_judged(docs), keep=True)
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    sketched = written(sketch_documents(docs))
+def _labelled(docs: DataFrame, numbered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and of every class set_id, node (the row of its first document), doc_id, low (its smallest id) and comp."""
+    sketched = written(sketch_documents(docs, numbered))
     classes = sketched.where("n > 0").groupBy("set_id").agg(
         F.min_by(F.struct("cw_row", "doc_id"), F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "cw_row")).alias("first"), F.min("doc_id").alias("low")
     )
@@ -329,7 +330,11 @@ def _judged(docs: DataFrame) -> DataFrame:
     linker.link(linker.apart(others))
     linker.merge(_left_over(linker, met))
 
-    labelled = linker.comp(classes.select("set_id", "node", "low"), "node", "comp")
+    return sketched, linker.comp(classes, "node", "comp")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    sketched, labelled = _labelled(docs)
     lows = labelled.groupBy(F.col("comp").alias("c")).agg(F.min("low").alias("lowest"))
     owners = labelled.join(lows, F.col("comp") == F.col("c")).select(F.col("set_id").alias("own_set"), "lowest")
     out = sketched.select("doc_id", "n", "set_id").join(owners, (F.col("set_id") == F.col("own_set")) & (F.col("n") > 0), "left")
@@ -446,6 +451,14 @@ def _merging_links(block: list[tuple[int, int, int, np.ndarray]], lo: int, hi: i
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the first of their component."""
-    drop = near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("cw_drop")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("cw_drop"), "left_anti")
+    """The rows of ``docs``, all columns: one of each component, with its smallest doc_id (null if all are), and all that are linked with nothing.
+
+    Rows are judged by a number that they get in a written copy, not by doc_id, which may be null or repeated.
+    """
+    numbered = written(docs.withColumn("cw_row", F.monotonically_increasing_id()), keep=True)
+    with scratch(docs.sparkSession):
+        sketched, labelled = _labelled(numbered, numbered=True)
+        first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("node").alias("row"))).alias("first")
+        stay = labelled.groupBy("comp").agg(first).select(F.col("first.row").alias("cw_stay"))
+        stay = written(stay.unionByName(sketched.where("n = 0").select(F.col("cw_row").alias("cw_stay"))), keep=True)
+    return numbered.join(stay, F.col("cw_row") == F.col("cw_stay"), "left_semi").drop("cw_row")

@@ -123,6 +123,16 @@ def test_keep_first(odd):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([-3, 1, 4, 5, 6, 7, 9, None, 11, 12])
 
 
+def test_keep_first_judges_rows(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(7, a), (7, b), (3, b + " tail"), (None, c), (None, c + " tail"), (None, c), (5, c), (None, None), (8, ""), (8, "")]
+    rows += [(20, "one text that is here three times over")] * 3 + [(None, "null ids only, and two rows of them")] * 2
+    for parts in (1, 3):
+        got = neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        expected = [(7, a), (3, b + " tail"), (5, c), (None, None), (8, ""), (8, ""), (20, rows[10][1]), (None, rows[-1][1])]
+        assert Counter((r.doc_id, r.text) for r in got) == Counter(expected)
+
+
 def test_stages(spark, data):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "language", "near_duplicates", "packing"]
