@@ -2,7 +2,9 @@
 
 A text is brought to a canonical form: A-Z in lower case, lines that only state a copyright removed, equivalent spellings
 unified, and everything but letters and digits made one space.  The SHA-256 of the whole canonical text is joined with the digests of known licences, which
-get the same treatment.  Built-in functions only; texts are not shuffled.
+get the same treatment; a text that is not known so is looked up once more without the titles and copyright statements it begins with.
+Known are ``KNOWN`` and the files of ``license_texts``, these also without what follows their terms; the SQL form knows ``KNOWN`` only, as it
+stands.  Built-in functions only; texts are not shuffled.
 
 Defined cases: null text has a null digest and no licence; a text that is empty in canonical form has the digest of the empty string
 and no licence; known texts with equal digests give the smallest licence id; repeated rows each give a row; other columns are ignored.
@@ -10,6 +12,8 @@ and no licence; known texts with equal digests give the smallest licence id; rep
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +106,23 @@ KNOWN = {
 }
 
 
+#: Lines that a licence may begin with (at most 200): titles of licences whose text does not hold its name, and copyright statements of any form.
+HEAD = (
+    r"\A(?:[ \t*#/;-]*+(?:(?:the )?(?:mit|expat|isc|zlib|0bsd|bsd zero clause|bsd [23][- ]clause) licen[cs]e(?: \([^)\n]*\))?"
+    r"|copyright[^\n]*|\(c\)[^\n]*|©[^\n]*|all rights reserved[^\n]*)?[ \t\r.:]*\n){1,200}"
+)
+
+
+def shipped() -> list[tuple[str, str]]:
+    """(license_id, text) of the built-in licences."""
+    out = list(KNOWN.items())
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        whole = path.read_text(encoding="utf-8")
+        end = whole.find(mark := "END OF TERMS AND CONDITIONS")
+        out += [(path.stem, whole), *([(path.stem, whole[:end]), (path.stem, whole[: end + len(mark)])] if end > 0 else [])]
+    return out
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
     out = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT_LINES, "")
@@ -111,21 +132,30 @@ def canonical(text: Column) -> Column:
     return out
 
 
-def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
-    """digest and license_id of known licences: of ``known`` (license_id, text), or of the built-in ones."""
+def bare(text: Column) -> Column:
+    """A text without the titles and copyright statements it begins with; null if it begins with none."""
+    lower = F.translate(text, UPPER, LOWER)
+    return F.when(lower.rlike(HEAD), F.regexp_replace(lower, HEAD, ""))
+
+
+def known_digests(spark: SparkSession, known: DataFrame | None = None, headless: bool = False) -> DataFrame:
+    """digest (of texts without what they begin with, if ``headless``) and license_id of known licences: of ``known`` (license_id, text), or of the built-in ones."""
     if known is None:
-        known = spark.createDataFrame(list(KNOWN.items()), "license_id string, text string")
-    digests = known.where("text is not null").select("license_id", canonical(F.col("text")).alias("form")).where("form <> ''")
+        known = spark.createDataFrame(shipped(), "license_id string, text string")
+    digests = known.where("text is not null").select("license_id", canonical(F.coalesce(bare(F.col("text")), "text") if headless else F.col("text")).alias("form")).where("form <> ''")
     return digests.groupBy(F.sha2("form", 256).alias("cw_digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest of the whole canonical text, and license_id (null if none is known) of every row."""
-    digests = known_digests(docs.sparkSession, known)
+    digests, headless = (known_digests(docs.sparkSession, known, h) for h in (False, True))
+    headless = headless.select(F.col("cw_digest").alias("cw_other"), F.col("license_id").alias("cw_license"))
     if known is None or known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        digests = F.broadcast(digests)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    return rows.join(digests, F.col("digest") == F.col("cw_digest"), "left").select("doc_id", "digest", "license_id")
+        digests, headless = F.broadcast(digests), F.broadcast(headless)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")), 256).alias("digest"), bare(F.col("text")).alias("cw_bare"))
+    rows = rows.withColumn("cw_bare", F.coalesce(F.sha2(canonical(F.col("cw_bare")), 256), "digest"))
+    rows = rows.join(digests, F.col("digest") == F.col("cw_digest"), "left").join(headless, F.col("cw_bare") == F.col("cw_other"), "left")
+    return rows.select("doc_id", "digest", F.coalesce("license_id", "cw_license").alias("license_id"))
 
 
 def duckdb_sql() -> str:

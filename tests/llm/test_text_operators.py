@@ -338,6 +338,18 @@ def test_licences_in_other_spellings(spark, odd, nothing):
     assert {r.digest is None for r in licenses.scan_licenses(docs).where("doc_id = 7").collect()} == {True}
 
 
+def test_whole_licences_titles_and_copyright_statements(spark):
+    mit, folder = licenses.KNOWN["MIT"], licenses.Path(licenses.__file__).parent / "license_texts"
+    texts = [(p.stem, p.read_text(encoding="utf-8").replace("  ", " ")) for p in sorted(folder.glob("*.txt"))]
+    texts += [("Apache-2.0", t.split("APPENDIX")[0]) for name, t in texts if name == "Apache-2.0"]
+    for head in ("The MIT License (MIT)", "Copyright Jane Doe 2020", "Copyright by X\n  Copyright: 2020", "The MIT License\n\nCopyright 2020, Y\nAll rights reserved."):
+        texts.append(("MIT", head + "\n\n" + mit))
+    texts += [("ISC", "ISC License\n\n" + licenses.KNOWN["ISC"]), ("BSD-3-Clause", "BSD 3-Clause License\n" + licenses.KNOWN["BSD-3-Clause"])]
+    texts += [(None, "Copyright law\n"), (None, "\n" * 5000 + "x"), (None, "A poem\n" + mit)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in licenses.scan_licenses(docs).collect()} == {i: name for i, (name, _) in enumerate(texts)}
+
+
 def test_own_licences(spark):
     own = spark.createDataFrame([("b", "Some terms"), ("a", "some TERMS!"), ("c", None), ("d", "...")], "license_id string, text string")
     docs = spark.createDataFrame([(1, "some terms"), (2, "...")], "doc_id long, text string")
