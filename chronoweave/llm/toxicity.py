@@ -1,20 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries hold text of the two classes: the ordinary one is trained on windows of ordinary text; the
-toxic one holds the same and, before it, what labelled toxic text uses far more often than ordinary text: stems of words, whole
-words of two or three letters, parts from inside words and pairs of words.  If these are too many for one dictionary there are several, and the best counts.
-A window (one word after a mark, so that matches begin where words do, and a fixed tail that all dictionaries know, because
-zstandard looks for no match in the last bytes of a block) is compressed with each.  Words with digits or signs inside are windows as they stand, besides
-their pieces; long runs of letters are cut into windows that overlap; pairs of words are windows if they were learnt.  What the toxic dictionary saves on it is its gain; windows that hold
-no toxic stem have a gain near zero.  A text's evidence is the number and sum of gains that reach the calibrated
-thresholds, by themselves and per window.  A logistic model of that evidence, fitted on labelled texts that the dictionaries
-have not seen, gives the score.
+Two zstandard dictionaries are trained, one on ordinary and one on toxic passages.  The training text of the toxic one is
+those words of toxic passages that ordinary ones hardly use: words with a stem (or short words, parts from inside words, pairs of words) whose over-use
+is beyond chance; of whole passages a dictionary would mostly learn ordinary prose, which tells nothing.  Both compressors also
+know the ordinary dictionary's text, at the same distance, so that ordinary prose costs the same in both.
+A window is ``WINDOW`` words, each after marks of its own so that matches begin where words do, and a fixed tail, because zstandard looks for no
+match in the last bytes of a block; pairs that were learnt are further windows.  Its gain is its compressed length with the ordinary dictionary less that with the toxic one.  A
+text's evidence is the number and sum of gains that reach the thresholds, by themselves and per window.  A logistic model of that
+evidence gives the score; it and the thresholds (the choice of ``THRESHOLDS`` with the least log loss, each half of the sample judged by the
+other) are calibrated on labelled texts that the dictionaries have not seen.
 
 The fit uses at most ``FIT_DOCS`` labelled rows of each class for dictionaries (a passage of at most ``PASSAGE`` characters of
-each) and as many whole texts for calibration; scoring covers all windows of all texts.
+each, and ``SAMPLES`` windows of the ordinary ones, chosen by hash) and as many whole texts for calibration; scoring covers all windows of all texts.
 
-Defined cases: a word of a single byte is no evidence by itself (in a pair it is); null and empty texts have no window and get the score of no evidence; texts of any length are read whole;
-with no labelled rows of one class the score is the share of toxic labels (0 without labels) for all rows; repeated
+Defined cases: null and empty texts have no window and get the score of no evidence; texts of any length are read whole;
+with no labelled rows of one class the score is the share of toxic labels (0 without labels) for all rows, and so it is if nothing is over-used; repeated
 rows each give a row; null doc_ids are scored, and never learnt from; other columns are ignored.
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,14 +39,16 @@ from .common import hash_fraction, id_crc_mod
 FIT_DOCS, PASSAGE = 3000, 2048
 #: A stem has this many characters at least, and is so many times likelier in toxic text at least.
 SHORTEST, TIMES = 4, 20.0
-#: Bytes of parts learnt from inside words (zstandard has no shorter match); longest windows, of which each next one begins half a window later.
+#: Bytes of parts learnt from inside words (zstandard has no shorter match); longest words, of which each next part begins half of that later.
 INNER, LONGEST = (6, 12), 48
-#: Bytes of ordinary text and of stems in a dictionary.
-ORDINARY_BYTES, STEM_BYTES = 2048, 2048
-#: The bytes before each word, in windows and dictionaries, those after a short whole word, and the bytes of the fixed tail.
-MARK, END, TAIL = b"\x01\x01", b"\x04\x04", 24
-#: Distinct windows whose gains a Python worker remembers; the memory is emptied beyond that.
-REMEMBERED = 600_000
+#: Words of a window; windows of ordinary text to train on at most; most bytes of the two dictionaries.
+WINDOW, SAMPLES, ORDINARY_BYTES, TOXIC_BYTES = 2, 40_000, 4096, 2048
+#: Segment and match lengths of the training.
+SEGMENT, DMER = 24, 8
+#: Bytes of the fixed tail of windows.
+TAIL = 24
+#: Choices of thresholds of a window's gain; the largest gain told apart; windows compressed at once.
+THRESHOLDS, MOST, AT_ONCE = ((2, 3, 4, 5), (3, 4, 5, 6), (3, 5), (4, 6)), 12, 4096
 
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -53,13 +56,11 @@ _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _SIGNED = re.compile(
     rb"[0-9$@*#]*[a-z\x80-\xff]+(?:[!-@\[-`{-~]+[a-z\x80-\xff]+)+[0-9$@*#]*|[0-9$@*#]+[a-z\x80-\xff]+[0-9$@*#]*|[a-z\x80-\xff]+[0-9$@*#]+"
 )
-#: In names of windows and stems: after a short whole word, before what begins inside a word, between the words of a pair.
-_END, _INSIDE, _PAIR = b"\x01", b"\x02", b"\x03"
-#: Pairs are written in other bytes, so that ordinary text that has both words saves nothing on them.
-_TURNED = bytes(c ^ 0x80 for c in range(256))
+#: In names of words and stems: after a short whole word, before what begins inside a word.
+_END, _INSIDE = b"\x01", b"\x02"
 
 
-def windows(text: str | None) -> list[bytes]:
+def words_of(text: str | None) -> list[bytes]:
     """The words of a text in lower case and UTF-8, cut at everything of ASCII but letters, and then the words that have digits or signs inside."""
     if not text:
         return []
@@ -88,16 +89,25 @@ def _stems(word: bytes) -> Iterator[bytes]:
             yield _INSIDE + word[i : i + n]
 
 
+_TURNED = bytes(c ^ 0x80 for c in range(256))
+#: What goes before a word, by its first byte: a match that ends with the word before hardly goes on into it.
+_MARKS = [bytes([1, 2 + c % 8]) for c in range(256)]
+
+
+def marked(words: list[bytes]) -> bytes:
+    """Words as they stand in windows and dictionaries."""
+    return b"".join([_MARKS[w[0]] + w for w in words]) + b"\x01"
+
+
 def _stem_counts(passages: list[list[bytes]], wanted: Counter | None = None) -> tuple[Counter, Counter, int]:
     """How often each stem and each pair of words occurs between different neighbours, at most twice a passage; and all words.
 
-    Pairs are of words that many passages have; with ``wanted`` only its pairs are counted.
+    Pairs are of words that three passages have at least; with ``wanted`` only its pairs are counted.
     """
     counts, pairs, seen, total = Counter(), Counter(), set(), 0
     common = Counter(w for words in passages for w in set(words)) if wanted is None else {}
     for words in passages:
-        here: Counter = Counter()
-        both: Counter = Counter()
+        here, both = Counter(), Counter()
         for around in zip([b"", *words], words, [*words[1:], b""], strict=False):
             if around in seen:
                 continue
@@ -105,76 +115,88 @@ def _stem_counts(passages: list[list[bytes]], wanted: Counter | None = None) ->
             total += 1
             for stem in _stems(around[1]):
                 here[stem] += here[stem] < 2
-            pair = around[1] + _PAIR + around[2]
-            if pair in wanted if wanted is not None else common[around[1]] >= 3 and common[around[2]] >= 3:
+            pair = around[1:]
+            if pair in wanted if wanted is not None else common[pair[0]] >= 3 and common.get(pair[1], 0) >= 3:
                 both[pair] += both[pair] < 2
         counts.update(here)
         pairs.update(both)
     return counts, pairs, total
 
 
-def _sure(counts: Counter, other: Counter, n_toxic: int, n_ordinary: int) -> dict[bytes, float]:
+def _sure(counts: Counter, other: Counter, n_toxic: int, n_ordinary: int) -> set:
     """Stems beyond chance (log likelihood against the share of all words, over the logarithm of the number of stems tried) and ``TIMES`` the ordinary rate."""
     tried = [s for s, k in counts.items() if k >= 3]
     share, least = n_toxic / (n_toxic + n_ordinary), math.log(len(tried) + 1) + 3
-    sure = {}
+    sure = set()
     for stem in tried:
         k, o = counts[stem], other[stem]
         likelihood = k * math.log(k / (k + o) / share) + (o * math.log(o / (k + o) / (1 - share)) if o else 0)
         if k / n_toxic >= TIMES * o / n_ordinary and likelihood >= least:
-            sure[stem] = likelihood
+            sure.add(stem)
     return sure
 
 
-def toxic_stems(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """Stems and pairs of words that are typical of toxic passages, the surest first.
-
-    Of stems that begin alike the longest with nearly the same count is kept; a part from inside a word counts unless a kept
-    stem has it, and a pair unless one of its words has a kept stem.
-    """
+def over_used(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[list[bytes], frozenset[tuple[bytes, bytes]]]:
+    """Of each toxic passage the words, and pairs of words, that ordinary passages hardly use, marked; and these pairs."""
     counts, pairs, n_toxic = _stem_counts(toxic)
-    pairs = Counter({p: k for p, k in pairs.items() if k >= 3})
     other, other_pairs, n_ordinary = _stem_counts(ordinary, pairs)
     if not n_toxic or not n_ordinary:
-        return []
-    kept: dict[bytes, float] = {}
+        return [], frozenset()
+    sure: set[bytes] = set()
     for inside in (False, True):
-        family = Counter({s: k for s, k in counts.items() if k >= 3 and s.startswith(_INSIDE) == inside})
-        sure = _sure(family, other, n_toxic, n_ordinary)
-        mine: dict[bytes, float] = {}
-        for stem in sorted(sure, key=lambda s: (len(s), s)):
-            shorter = [stem[:n] for n in range(SHORTEST, len(stem)) if stem[:n] in mine]
-            if any(counts[stem] < 0.9 * counts[s] for s in shorter):
-                continue
-            for s in shorter:
-                del mine[s]
-            mine[stem] = sure[stem]
-        text = b"\n".join(kept)
-        for stem in sorted(mine, key=lambda s: (-len(s), -mine[s], s)) if inside else mine:
-            if inside and stem[1:] in text:
-                continue
-            kept[stem] = mine[stem]
-            text += b"\n" + stem if inside else b""
-    for pair, likelihood in _sure(pairs, other_pairs, n_toxic, n_ordinary).items():
-        if not any(stem in kept for word in pair.split(_PAIR) for stem in _stems(word)):
-            kept[pair] = likelihood
-    return sorted(kept, key=lambda s: (-kept[s], s))
+        sure |= _sure(Counter({s: k for s, k in counts.items() if s.startswith(_INSIDE) == inside}), other, n_toxic, n_ordinary)
+    pairs = frozenset(p for p in _sure(pairs, other_pairs, n_toxic, n_ordinary) if not any(stem in sure for word in p for stem in _stems(word)))
+    kept = ([part for w in words for part in _parts(w, sure)] + as_words(words, pairs) for words in toxic)
+    return [marked(words) for words in kept if words], pairs
+
+
+def _parts(word: bytes, sure: set[bytes]) -> list[bytes]:
+    """The whole of a word that begins with a sure stem or is one; else its runs of bytes that sure parts cover."""
+    found = [stem for stem in _stems(word) if stem in sure]
+    if any(not stem.startswith(_INSIDE) for stem in found):
+        return [word]
+    word, parts = word.removeprefix(_INSIDE), {stem[1:] for stem in found}
+    covered, out = bytearray(len(word)), []
+    for part in parts:
+        at = word.find(part)
+        while at >= 0:
+            covered[at : at + len(part)] = b"\x01" * len(part)
+            at = word.find(part, at + 1)
+    for run in re.finditer(rb"\x01+", covered):
+        out.append(word[run.start() : run.end()])
+    return out
+
+
+def as_words(words: list[bytes], pairs: frozenset[tuple[bytes, bytes]]) -> list[bytes]:
+    """The neighbours among ``words`` that are one of ``pairs``, each as a word in turned bytes, which ordinary text saves nothing on."""
+    return [b" ".join(p).translate(_TURNED) for p in zip(words, words[1:], strict=False) if p in pairs] if pairs else []
+
+
+#: Fixed value: the three repeat offsets that end the header of a trained dictionary.
+_REPEATS = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """The content of a zstandard dictionary trained on the samples; their end if they are too few to train on."""
+    try:
+        whole = zstandard.train_dictionary(size + 256, samples, k=SEGMENT, d=DMER).as_bytes()
+        return whole[whole.index(_REPEATS) + len(_REPEATS) :][-size:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 @dataclass
 class ToxicityModel:
-    """Dictionaries (``more`` are further toxic ones), the pairs of words learnt, thresholds of a window's gain, and weights of the evidence.  ``prior`` is the score without a fit."""
+    """The dictionaries, the pairs of words learnt, thresholds of a window's gain, and weights of the evidence.  ``prior`` is the score without a fit."""
 
     ordinary: bytes = b""
     toxic: bytes = b""
-    more: tuple[bytes, ...] = ()
-    pairs: frozenset[bytes] = frozenset()
-    thresholds: tuple[int, ...] = (2, 3)
+    pairs: frozenset[tuple[bytes, bytes]] = frozenset()
+    thresholds: tuple[int, ...] = ()
     weights: list[float] = field(default_factory=list)
     prior: float = 0.0
 
     def __post_init__(self):
-        self._gains: dict[bytes, int] = {}
         self._compressors = None
 
     def __getstate__(self):
@@ -184,53 +206,49 @@ class ToxicityModel:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def _learn(self, new: list[bytes]) -> None:
+    def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+        """The compressors that know ordinary text, and toxic text as well."""
         if self._compressors is None:
             settings = zstandard.ZstdCompressionParameters(
-                window_log=13, chain_log=12, hash_log=12, search_log=4, min_match=6, target_length=16, strategy=zstandard.STRATEGY_LAZY,
+                window_log=14, chain_log=13, hash_log=13, search_log=4, min_match=6, target_length=16, strategy=zstandard.STRATEGY_LAZY,
                 write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
             )
-            self._compressors = [
-                zstandard.ZstdCompressor(
-                    dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=settings
-                )
-                for d in (self.ordinary, self.toxic, *self.more)
-            ]
-        tail = b"\n" + self.ordinary[-TAIL:]
-        blocks = [MARK + w + (END if len(w) < SHORTEST else b"") + tail for w in new]
-        plain, *toxic = ([len(b) for b in c.multi_compress_to_buffer(blocks)] for c in self._compressors)
-        best = toxic[0] if len(toxic) == 1 else map(min, *toxic)
-        self._gains.update((w, a - b) for w, a, b in zip(new, plain, best, strict=True))
-
-    def evidence(self, text: str | None) -> list[float]:
-        """What the windows of a whole text say: by threshold the number and sum of gains, by themselves and per window."""
-        words = windows(text)
-        if self.pairs:
-            words += [pair.translate(_TURNED) for a, b in zip(words, words[1:], strict=False) if (pair := a + _PAIR + b) in self.pairs]
-        gains = self._gains
-        distinct = set(words)
-        new = [w for w in distinct if w not in gains]
-        if new:
-            if len(gains) + len(new) > REMEMBERED:
-                gains.clear()
-                new = list(distinct)
-            self._learn(new)
-        high = {w for w in distinct if gains[w] >= self.thresholds[0]}
-        found = np.array([gains[w] for w in words if w in high] if high else [], dtype=np.float64)
-        out = []
-        for t in self.thresholds:
-            hits = found[found >= t]
-            n, total = len(hits), float(np.minimum(hits, 8).sum())
-            out += [math.log1p(n), math.log1p(total), min(1.0, 20 * n / max(1, len(words))), min(1.0, 5 * total / max(1, len(words)))]
-        return out
-
-    def score(self, evidence: list[float]) -> float:
+            self._compressors = tuple(
+                zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=settings)
+                for d in (self.ordinary, self.toxic + self.ordinary)
+            )
+        return self._compressors
+
+    def windows(self, text: str | None) -> list[bytes]:
+        """All windows of a whole text."""
+        words, tail = words_of(text), b"\n" + self.ordinary[-TAIL:]
+        blocks = [marked(words[i : i + WINDOW]) + tail for i in range(0, len(words), WINDOW)]
+        return blocks + [marked([pair]) + tail for pair in as_words(words, self.pairs)]
+
+    def gains(self, text: str | None) -> np.ndarray:
+        """How many windows of a text have the gain 0 (or less), 1, 2 and so on."""
+        blocks, seen = self.windows(text), np.zeros(MOST + 1, np.int64)
+        for at in range(0, len(blocks), AT_ONCE):
+            plain, toxic = (np.array([len(b) for b in c.multi_compress_to_buffer(blocks[at : at + AT_ONCE])]) for c in self.compressors())
+            seen += np.bincount(np.clip(plain - toxic, 0, MOST), minlength=MOST + 1)
+        return seen
+
+    def score(self, text: str | None) -> float:
         if not self.weights:
             return self.prior
-        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], evidence, strict=True))
+        z = self.weights[0] + float(np.dot(self.weights[1:], evidence(self.gains(text), self.thresholds)))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
+def evidence(gains: np.ndarray, thresholds: tuple[int, ...]) -> list[float]:
+    """By threshold the number and sum of gains that reach it, by themselves and per window."""
+    windows, out = max(1, int(gains.sum())), []
+    for t in thresholds:
+        n, total = int(gains[t:].sum()), int((gains[t:] * np.arange(t, MOST + 1)).sum())
+        out += [math.log1p(n), math.log1p(total), min(1.0, 4 * n / windows), min(1.0, total / windows)]
+    return out
+
+
 def logistic_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 60) -> list[float]:
     """Intercept and weights by Newton steps with a small ridge, the classes weighed by the square root of their odds."""
     x1 = np.hstack([np.ones((len(x), 1)), x])
@@ -270,51 +288,55 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Toxicit
     rows = sorted((r.cw_toxic, r.passage) for r in passages.collect())
     if not rows or rows[0][0] == rows[-1][0]:
         return ToxicityModel(prior=n[1] / (n[0] + n[1]))
-    by_class = {c: [windows(p) for toxic, p in rows if toxic == c] for c in (0, 1)}
+    by_class = {c: [words_of(p) for toxic, p in rows if toxic == c] for c in (0, 1)}
     model = _with_dictionaries(by_class[1], by_class[0])
+    model.prior = n[1] / (n[0] + n[1])
+    if not model.toxic:
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [model.evidence(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["cw_toxic", "x"])
+            gains = [shared.value.gains(t.as_py()).tolist() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gains, pa.list_(pa.int64()))], ["cw_toxic", "gains"])
+
+    seen = texts.where("not cw_fit").select("cw_toxic", "text").mapInArrow(run, "cw_toxic int, gains array<long>").collect()
+    return _calibrated(model, sorted((r.cw_toxic, r.gains) for r in seen))
 
-    seen = texts.where("not cw_fit").select("cw_toxic", "text").mapInArrow(run, "cw_toxic int, x array<double>").collect()
-    seen = sorted((r.cw_toxic, r.x) for r in seen)
+
+def _calibrated(model: ToxicityModel, seen: list[tuple[int, list[int]]]) -> ToxicityModel:
+    """The model with the best thresholds, and the weights for these, from (class, gains) of texts that the dictionaries have not seen."""
     y = np.array([c for c, _ in seen], dtype=np.float64)
-    model.prior = n[1] / (n[0] + n[1])
-    if len(seen) and 0 < y.sum() < len(y):
-        model.weights = logistic_weights(np.array([x for _, x in seen]), y)
+    if not len(seen) or not 0 < y.sum() < len(y):
+        return model
+    half, least = np.arange(len(y)) % 2 == 0, math.inf
+    for thresholds in THRESHOLDS:
+        x, loss = np.array([evidence(np.array(g), thresholds) for _, g in seen]), 0.0
+        for own in (half, ~half):
+            w = np.array(logistic_weights(x[own], y[own]))
+            z = np.clip(w[0] + x[~own] @ w[1:], -30, 30)
+            loss += float(np.log1p(np.exp(np.where(y[~own] == 1, -z, z))).sum())
+        if loss < least:
+            least, model.thresholds, model.weights = loss, thresholds, logistic_weights(x, y)
     return model
 
 
 def _with_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> ToxicityModel:
-    """Dictionaries of the two classes; both end with the same ordinary text, so that it costs the same in both."""
-    stems = toxic_stems(toxic, ordinary)
-    samples = [MARK + MARK.join(words[i : i + 12]) for words in ordinary for i in range(0, len(words), 12)][:40_000]
-    try:
-        common = zstandard.train_dictionary(8 * ORDINARY_BYTES, samples).as_bytes()[-ORDINARY_BYTES:]
-    except zstandard.ZstdError:  # too few samples to train on: the text itself
-        common = b"".join(samples)[-ORDINARY_BYTES:]
-    common = MARK + common.rjust(TAIL, b"#")
-    groups, size = [[]], 0
-    for stem in stems:
-        stem = stem.translate(_TURNED) if _PAIR in stem else stem
-        entry = stem[1:] if stem.startswith(_INSIDE) else MARK + stem.replace(_END, END)
-        if size + len(entry) > STEM_BYTES and groups[-1]:
-            groups.append([])
-            size = 0
-        groups[-1].append(entry)
-        size += len(entry)
-    first, *more = (b"".join(entries) + common for entries in groups)
-    return ToxicityModel(ordinary=common, toxic=first, more=tuple(more), pairs=frozenset(s for s in stems if _PAIR in s))
+    """The two trained dictionaries; the toxic one is empty if nothing is over-used."""
+    samples = [marked(words[i : i + 12]) for words in ordinary for i in range(0, len(words), 12)]
+    samples = sorted(samples, key=lambda x: (zlib.crc32(x), x))[:SAMPLES]  # a pseudo-random choice, the same each time
+    plain = b"\x01" + trained(samples, ORDINARY_BYTES).rjust(TAIL, b"#")
+    words, pairs = over_used(toxic, ordinary)
+    return ToxicityModel(ordinary=plain, toxic=trained(words, TOXIC_BYTES) if words else b"", pairs=pairs)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, held_out, score and predicted for each row: a narrow map over Arrow batches."""
+    """doc_id, held_out, score and predicted for each row: a narrow map over Arrow batches; the model is broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [model.score(model.evidence(t.as_py())) for t in batch.column(1)]
+            s = [shared.value.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())],
                 ["doc_id", "held_out", "score", "predicted"],
@@ -327,9 +349,10 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is not predicted toxic."""
     at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([model.score(model.evidence(t.as_py())) < 0.5 for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([shared.value.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
