@@ -22,8 +22,8 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-#: Distinct pre-tokens that a Python worker remembers; the memory is emptied beyond that.
-REMEMBERED = 400_000
+#: Distinct pre-tokens that a Python worker remembers, and bytes of them and their ids, about; the memory is emptied beyond that.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 64 << 20
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -82,7 +82,7 @@ class ByteBpe:
     """Encoder and decoder for one vocabulary and one pre-token pattern."""
 
     def __init__(self, tokens: list[bytes], pattern: str, remembered: int = REMEMBERED):
-        self.tokens, self.remembered = tokens, remembered
+        self.tokens, self.remembered, self._bytes = tokens, remembered, 0
         self._split = regex.compile(pattern).findall
         self._model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(tokens))
         self._whole = {token: struct.pack("<I", rank) for rank, token in enumerate(tokens)}
@@ -111,10 +111,11 @@ class ByteBpe:
         known = self._known
         new = [w for w in set(words) if w not in known]
         if new:
-            if len(known) + len(new) > self.remembered:
+            if len(known) + len(new) > self.remembered or self._bytes > REMEMBERED_BYTES:
                 known.clear()
-                new = list(set(words))
+                new, self._bytes = list(set(words)), 0
             self._learn(new)
+            self._bytes += 8 * sum(map(len, new))
         return b"".join(map(known.__getitem__, words))
 
     def decode(self, ids: bytes) -> bytes:

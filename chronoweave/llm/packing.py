@@ -38,8 +38,8 @@ TIERS = (64, 128, 256, 512, 1024, 2048)
 END_ID = 1
 #: Top-tier windows of pending tokens that start a packing round, and tokens of a step group in top-tier windows.
 ROUND, STEP = 64, 8
-#: Distinct words whose ids a Python worker remembers; the memory is emptied beyond that.
-REMEMBERED = 600_000
+#: Distinct words whose ids a Python worker remembers, and bytes of them and their ids, about; the memory is emptied beyond that.
+REMEMBERED, REMEMBERED_BYTES = 600_000, 64 << 20
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -56,16 +56,17 @@ class WordTokenizer:
 
     Such a tokenizer treats the words of a text one by one, so the ids of a text are those of its words; each distinct word goes
     through the library once.  Words that normalisation leaves as they are and that consist of letters only are one pre-token each; those go
-    straight to the file's merge model, many at a time, and the marks of word ends in its pieces tell their ids apart.  Strings of special
-    tokens are ordinary text.
+    straight to the file's merge model, many at a time, and the marks of word ends in its pieces tell their ids apart.  A text that holds a
+    string of an added token goes through the library as a whole, because such strings are split out before words are.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self.remembered = remembered
+        self.remembered, self._bytes = remembered, 0
         self._known: dict[str, bytes] = {"": b""}
+        added = sorted({t.content.lower() for t in self._tokenizer.get_added_tokens_decoder().values()})
+        self._added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
         kept = json.loads(self._tokenizer.to_str())
         end, steps = kept["model"].get("end_of_word_suffix"), kept["pre_tokenizer"].get("pretokenizers", [])
         self._merges = None
@@ -99,16 +100,19 @@ class WordTokenizer:
                 known[w] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, text: str) -> np.ndarray:
+        if self._added.search(text):
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         low = text.lower() if text.isascii() else text.encode().translate(_LOWER).decode()
         words = _TAIL.sub(" ", low).replace("\n", " ").split(" ")
         known = self._known
         new = [w for w in set(words) if w not in known]
         if new:
-            if len(known) + len(new) > self.remembered:
+            if len(known) + len(new) > self.remembered or self._bytes > REMEMBERED_BYTES:
                 known.clear()
                 known[""] = b""
-                new = [w for w in set(words) if w]
+                new, self._bytes = [w for w in set(words) if w], 0
             self._learn(new)
+            self._bytes += 8 * sum(map(len, new))
         return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
 
 
