@@ -6,6 +6,8 @@ join, and pairs of vectors only inside a task, so the frames have a row for each
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +24,14 @@ def usable(table: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & F.coalesce(finite, F.lit(False)))
 
 
+def by_dimension(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Dimension, ids and vectors of a batch's rows (id, vector), by dimension."""
+    sizes = np.diff(batch.column(1).offsets.to_numpy()) if batch.num_rows else np.empty(0, np.int64)
+    for d in np.unique(sizes):
+        rows = batch if (sizes == d).all() else batch.filter(pa.array(sizes == d))
+        yield int(d), rows.column(0).to_numpy(), matrix(rows.column(1))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column of equal lengths as a matrix."""
     if not len(column):

@@ -64,6 +64,45 @@ def test_products_of_odd_vectors(spark):
     assert got == expected
 
 
+def test_products_of_large_components_are_exact(spark):
+    """Beyond 2^53 in sums of doubles, and with components beyond 2^28."""
+    rows = [(0, [2e6, 1.0]), (1, [2e6, 1.0]), (2, [1.5e6, 1.0]), (3, [1e6 + 1 / 256, -1.0]), (4, [1e7, 3.0]), (5, [-3.5e6, 1e9]), (6, [4.0, 5.0])]
+    rows += [(10 + i, [float(i), 1e6 - i]) for i in range(60)]
+    t = table(spark, rows).repartition(3)
+    got = ranked(topk.top_products(t, t.where("vec_id in (0, 3, 6)")))
+    whole = {i: [int(256 * x) for x in v] for i, v in rows}
+    for q in (0, 3, 6):
+        scores = sorted(((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q))[:5]
+        assert got[q] == [(i, -s) for s, i in scores]
+    assert got[0][1] == (1, 262144000000065536)
+    far = table(spark, [(0, [1e200, 1.0]), (1, [1.0, 0.0])])
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_products(far, far.where("vec_id = 0")).collect()
+
+
+def test_lists_are_not_read_to_their_ends():
+    r = np.random.default_rng(6)
+    v = r.standard_normal((4096, 64))
+    rows = np.floor(256 * v / np.linalg.norm(v, axis=1, keepdims=True))
+    block, left = topk.SortedBlock(np.arange(4096), rows), []
+    for q in range(0, 4096, 400):
+        scores = np.sort(np.delete(rows @ rows[q], q))[::-1]
+        ids, found = block.best(rows[q], q, 5, int(0.95 * scores[4]))
+        left.append(len(ids))
+        assert sorted(found.tolist(), reverse=True)[:5] == scores[:5].tolist()
+    assert block.read < 0.85 * 11 * rows.size and np.mean(left) < 0.1 * 4096
+    skipped = block.read
+    assert len(block.best(rows[0], 0, 5, 10**9)[0]) == 0 and block.read == skipped  # its best values do not reach the bound
+
+
+def test_each_dimension_is_searched(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, r.integers(-9, 9, 2 + i % 3).astype(float).tolist()) for i in range(90)]
+    t = table(spark, rows).repartition(3)
+    asked = [x for x in rows if x[0] % 10 == 0]
+    assert ranked(topk.top_products(t, t.where("vec_id % 10 = 0"))) == brute([(i, [256 * x for x in v]) for i, v in rows], asked, 5, lambda a, b: int(a @ b))
+
+
 def test_empty_tables(spark):
     t = table(spark, ODD)
     for search in (ann.nearest, topk.top_products):
