@@ -1,25 +1,28 @@
 """Approximate nearest neighbours: multiprobe p-stable hashing with exact reranking.
 
-Each of ``TABLES`` hash tables projects vectors of length one on a few random orthogonal directions (a 2-stable family) and cuts the projections
-into slots; a bucket is a combination of slots.  A query visits its own bucket and perturbed ones in the order of their estimated chance to
-hold a neighbour: a neighbour at cosine c lies, in each direction, around c times the query's projection with variance 1 - c²,
-so a bucket's chance is a product of normal masses.  It visits buckets until their chances add up to ``CHANCE``.  The candidates of
+Each of ``TABLES`` hash tables projects vectors of length one on a few random orthogonal directions (a 2-stable family) and cuts each projection
+into ``SLOTS`` slots, the outer ones open; a bucket is a combination of slots.  A query visits its own bucket and perturbed ones in the order of their estimated
+chance to hold a neighbour: a neighbour at cosine c lies, in each direction, around c times the query's projection with variance 1 - c²,
+so a bucket's chance is a product of normal masses.  Perturbations of the two halves of the directions are sorted each by itself, and a heap gives
+their combinations, likeliest first, until their chances add up to ``CHANCE``; empty buckets are passed over.  The candidates of
 all tables are merged and ranked by their exact cosine, in double precision on the original vectors.
 
-Vectors of length one have bounded projections, so the buckets of a table, and with them the directory of occupied buckets that
-queries are routed by, are bounded whatever the number of vectors (``DIRECTORY`` at most, checked).  A bucket is sent to tasks in
+There are ``TABLES`` * ``SLOTS`` ** ``DIRECTIONS`` buckets at most, whatever the number of vectors, so the directory of occupied ones that
+queries are routed by is bounded.  A bucket is sent to tasks in
 blocks of about ``BLOCK`` vectors, so a hot one is spread over many tasks.  In a task the queries of a block
 meet its vectors as matrices.
 
 Defined cases: vectors null, empty, of length zero, or with null or non-finite components, and rows with a null vec_id, take no part; a
 vector is never its own neighbour (rows with the query's vec_id); rows that repeat a vec_id are one candidate with the best of their scores; ties go to the smaller vec_id; fewer candidates than k give fewer rows;
-vectors of another dimension than the most common one take no part; an empty table gives no rows; other columns are ignored.
+the candidates of a query are the vectors of its dimension; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,50 +31,43 @@ from pyspark.sql import functions as F
 
 from .vectors import Best, matrix, ranked, scaled, top_rows, usable
 
-#: Hash tables, directions and slot width (in standard deviations of a projection) of a table.
-TABLES, DIRECTIONS, WIDTH = 6, 6, 1.9
+#: Hash tables, directions and slots of a direction, and width of the inner slots (in standard deviations of a projection).
+TABLES, DIRECTIONS, SLOTS, WIDTH = 2, 8, 3, 1.2
 #: Cosine that a neighbour is expected to have at least, and summed chance at which a query stops visiting a table's buckets.
-COSINE, CHANCE = 0.3, 0.5
-#: Vectors of one block of a bucket, queries that meet them at once, and occupied buckets of all tables at most.
-BLOCK, PART, DIRECTORY = 8192, 256, 2_000_000
+COSINE, CHANCE = 0.4, 0.78
+#: Vectors of one block of a bucket, and queries that meet them at once.
+BLOCK, PART = 8192, 256
 
 
 @dataclass
 class Hashes:
-    """The random directions and offsets of all tables, for one dimension."""
+    """The random directions and the borders of the slots of all tables, for one dimension."""
 
     directions: np.ndarray  # tables x dimension x directions
-    offsets: np.ndarray  # tables x directions
+    borders: np.ndarray  # tables x directions x (slots - 1)
 
     @classmethod
-    def make(cls, dimension: int, tables: int = TABLES, directions: int = DIRECTIONS, seed: int = 7) -> Hashes:
+    def make(cls, dimension: int, tables: int = TABLES, directions: int = DIRECTIONS, slots: int = SLOTS, seed: int = 7) -> Hashes:
         random = np.random.default_rng(seed)
         k = min(directions, dimension)
         a = np.stack([np.linalg.qr(random.standard_normal((dimension, k)))[0] for _ in range(tables)])
-        return cls(a * np.sqrt(dimension), random.uniform(0, WIDTH, (tables, k)))
+        offsets = random.uniform(-WIDTH / 4, WIDTH / 4, (tables, k, 1))
+        return cls(a * np.sqrt(dimension), (np.arange(slots - 1) - (slots - 2) / 2) * WIDTH + offsets)
+
+    @property
+    def buckets(self) -> int:
+        """Buckets of a table."""
+        return (self.borders.shape[2] + 1) ** self.borders.shape[1]
 
     def projections(self, unit: np.ndarray) -> np.ndarray:
         """tables x vectors x directions."""
         return np.einsum("nd,tdk->tnk", unit, self.directions)
 
-    def slots(self, projections: np.ndarray) -> np.ndarray:
-        return np.floor((projections + self.offsets[:, None, :]) / WIDTH).astype(np.int16)
-
-
-def _code(table: int, slots: np.ndarray) -> np.ndarray:
-    """A bucket's number: the table, then each slot in one byte."""
-    code = np.full(len(slots), table, np.int64)
-    for column in slots.T:
-        code = code * 256 + np.clip(column.astype(np.int64) + 128, 0, 255)
-    return code
-
-
-def _slots_of(codes: np.ndarray, k: int) -> np.ndarray:
-    out = np.empty((len(codes), k), np.int16)
-    for i in range(k - 1, -1, -1):
-        out[:, i] = (codes & 255) - 128
-        codes = codes >> 8
-    return out
+    def codes(self, projections: np.ndarray) -> np.ndarray:
+        """Bucket numbers, tables x vectors; those of table t begin at t * ``buckets``."""
+        slots = (projections[..., None] > self.borders[:, None]).sum(axis=3)
+        weights = (self.borders.shape[2] + 1) ** np.arange(slots.shape[2], dtype=np.int64)
+        return slots @ weights + np.arange(len(slots), dtype=np.int64)[:, None] * self.buckets
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -81,45 +77,59 @@ def _phi(x: np.ndarray) -> np.ndarray:
     return np.where(x < 0, e / 2, 1 - e / 2)
 
 
-def visits(projection: np.ndarray, slots: np.ndarray, offsets: np.ndarray, chance: float = CHANCE, cosine: float = COSINE) -> Iterator[np.ndarray]:
-    """For each query (row of projections of one table) the occupied buckets to visit, likeliest first, until their chances reach ``chance``.
-
-    Chances are divided by the sum over all occupied buckets, which is what a neighbour in the table can be in.
-    """
-    spread = np.sqrt(1 - cosine**2)
-    low, high = int(slots.min()), int(slots.max())
-    borders = np.arange(low, high + 2)[None, :, None] * WIDTH - offsets[None, None, :]
-    masses = np.diff(_phi((borders - cosine * projection[:, None, :]) / spread), axis=1)  # queries x slots x directions
-    logs = np.log(np.maximum(masses, 1e-12)).astype(np.float32)
-    at = slots - low
-    for q in range(len(projection)):
-        p = np.exp(sum(logs[q, at[:, d], d] for d in range(slots.shape[1])))
-        order = np.argsort(-p, kind="stable")
-        total = np.cumsum(p[order])
-        yield order[: int(np.searchsorted(total, chance * total[-1])) + 1]
+def slot_chances(projections: np.ndarray, borders: np.ndarray, cosine: float = COSINE) -> np.ndarray:
+    """Of queries (rows of projections on one table's directions) the chance of a neighbour to be in each slot: queries x directions x slots."""
+    below = _phi((borders[None] - cosine * projections[:, :, None]) / np.sqrt(1 - cosine**2))
+    edge = np.ones((*below.shape[:2], 1))
+    return np.diff(np.concatenate([0 * edge, below, edge], axis=2), axis=2)
 
 
-def nearest(table: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES, chance: float = CHANCE) -> DataFrame:
+def probes(chances: np.ndarray, chance: float = CHANCE) -> Iterator[int]:
+    """Buckets (numbers in their table) by falling chance, given those of each direction's slots, until they add up to ``chance``."""
+    k, slots = chances.shape
+    halves = []
+    for directions in (range(k // 2), range(k // 2, k)):
+        p, code = np.ones(1), np.zeros(1, np.int64)
+        for d in directions:
+            p = (p[:, None] * chances[d]).ravel()
+            code = (code[:, None] + np.arange(slots) * slots**d).ravel()
+        order = np.argsort(-p, kind="stable")
+        halves.append((p[order].tolist(), code[order].tolist()))
+    (p, own), (q, other) = halves
+    heap, total = [(-p[0] * q[0], 0, 0)], 0.0
+    while heap and total < chance:
+        likely, i, j = heapq.heappop(heap)
+        total -= likely
+        yield own[i] + other[j]
+        if j + 1 < len(q):
+            heapq.heappush(heap, (-p[i] * q[j + 1], i, j + 1))
+        if j == 0 and i + 1 < len(p):
+            heapq.heappush(heap, (-p[i + 1] * q[0], i + 1, 0))
+
+
+def nearest(table: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES, chance: float = CHANCE, cosine: float = COSINE) -> DataFrame:
     """query_id, rank, vec_id and score (cosine) of the ``k`` nearest candidates found among ``table`` for each row of ``queries``.
 
     Both have vec_id and embedding.  Shuffled are each vector once for each table, and each query once for each block of vectors that it visits.
     """
-    spark = table.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     base, asked = usable(table).where("exists(vector, x -> x <> 0)"), usable(queries).where("exists(vector, x -> x <> 0)")
-    sizes = base.groupBy(F.size("vector").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
-    if sizes is None:
-        return empty
-    dimension = sizes.d
-    base, asked = base.where(F.size("vector") == dimension), asked.where(F.size("vector") == dimension)
+    sizes = sorted(r.d for r in base.select(F.size("vector").alias("d")).distinct().collect())
+    if not sizes:
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    of = lambda df, d: df.where(F.size("vector") == d)
+    return ranked(reduce(DataFrame.unionByName, (_candidates(of(base, d), of(asked, d), d, k, tables, chance, cosine) for d in sizes)), k)
+
+
+def _candidates(base: DataFrame, asked: DataFrame, dimension: int, k: int, tables: int, chance: float, cosine: float) -> DataFrame:
+    """query_id, vec_id and score of the best candidates that each task finds, for vectors of one dimension."""
+    spark = base.sparkSession
     hashes = spark.sparkContext.broadcast(Hashes.make(dimension, tables))
 
     def unit(v: np.ndarray) -> np.ndarray:
         return v / np.linalg.norm(v, axis=1, keepdims=True)
 
     def codes(v: np.ndarray) -> np.ndarray:
-        slots = hashes.value.slots(hashes.value.projections(unit(v)))
-        return np.stack([_code(t, slots[t]) for t in range(tables)])
+        return hashes.value.codes(hashes.value.projections(unit(v)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,23 +137,18 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABL
                 code, n = np.unique(codes(scaled(matrix(batch.column(0)))), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
-    counted = base.select("vector").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    directory = sorted((r.code, r.n) for r in counted.limit(DIRECTORY + 1).collect())
-    if len(directory) > DIRECTORY:
-        raise ValueError("more occupied buckets than unit vectors can have at this slot width: widen the slots")
-    occupied = np.array([c for c, _ in directory], np.int64)
-    blocks = np.array([-(-n // BLOCK) for _, n in directory], np.int64)
-    first_block = np.concatenate(([0], np.cumsum(blocks)))
-    shared = spark.sparkContext.broadcast((occupied, blocks, first_block))
-    width = 8 * min(DIRECTIONS, dimension)
+    counted = base.select("vector").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    blocks = np.zeros(tables * hashes.value.buckets, np.int64)
+    blocks[counted.column("code").to_numpy()] = -(-counted.column("n").to_numpy() // BLOCK)
+    shared = spark.sparkContext.broadcast((blocks, np.concatenate(([0], np.cumsum(blocks)))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        occupied, blocks, first_block = shared.value
+        blocks, first_block = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             v, ids = scaled(matrix(batch.column(1))), batch.column(0).to_numpy()
-            at = np.searchsorted(occupied, codes(v))
+            at = codes(v)
             salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             block = first_block[at] + (salt[None, :] % blocks[at].astype(np.uint64)).astype(np.int64)
             raw = [x.tobytes() for x in v]
@@ -152,8 +157,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABL
             )
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        occupied, blocks, first_block = shared.value
-        tables_of = occupied >> width
+        blocks, first_block = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -161,10 +165,9 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABL
             projections = hashes.value.projections(unit(v))
             raw = [x.tobytes() for x in v]
             for t in range(tables):
-                mine = np.flatnonzero(tables_of == t)
-                slots = _slots_of(occupied[mine], width // 8)
-                for q, order in enumerate(visits(projections[t], slots, hashes.value.offsets[t], chance)):
-                    at = mine[order]
+                for q, chances in enumerate(slot_chances(projections[t], hashes.value.borders[t], cosine)):
+                    at = np.fromiter(probes(chances, chance), np.int64) + t * hashes.value.buckets
+                    at = at[blocks[at] > 0]
                     n = blocks[at]
                     block = np.repeat(first_block[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     yield pa.RecordBatch.from_arrays(
@@ -173,15 +176,18 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABL
 
     schema = "block long, id long, raw binary"
     rows = base.select("vec_id", "vector").mapInArrow(place, schema).withColumn("is_query", F.lit(0))
-    probes = asked.select("vec_id", "vector").mapInArrow(route, schema).withColumn("is_query", F.lit(1))
+    sent = asked.select("vec_id", "vector").mapInArrow(route, schema).withColumn("is_query", F.lit(1))
     # A block's vectors come before its queries, and its queries are met a part at a time.
-    met = rows.unionByName(probes).repartition("block").sortWithinPartitions("block", "is_query")
+    met = rows.unionByName(sent).repartition("block").sortWithinPartitions("block", "is_query")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(k)
         now, vec_ids, vec_raw = None, [], []
         ready: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in best.take()], ["query_id", "vec_id", "score"])
+
         def ask(ids: np.ndarray, raw: list[bytes]) -> None:
             nonlocal ready
             if not vec_ids:
@@ -207,7 +213,8 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABL
                     vec_raw += raw[lo:hi]
                 else:
                     ask(ids[lo:hi], raw[lo:hi])
-        query, vec, score = best.cut()
-        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
+                    if best.full:
+                        yield found()
+        yield found()
 
-    return ranked(met.mapInArrow(meet, "query_id long, vec_id long, score double"), k)
+    return met.mapInArrow(meet, "query_id long, vec_id long, score double")

@@ -46,7 +46,10 @@ def scaled(v: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The ``k`` best (score, then smaller id) candidates of each query; rows are added in bulk and cut down from time to time."""
+    """The ``k`` best (score, then smaller id) candidates of each query; rows are added in bulk and cut down beyond ``most``.
+
+    If so many stay that half of that is taken, it is ``full``: the caller should pass them on by :meth:`take`.
+    """
 
     def __init__(self, k: int, most: int = 400_000):
         self.k, self.most, self.parts, self.rows = k, most, [], 0
@@ -57,7 +60,16 @@ class Best:
         if self.rows > self.most:
             kept = self.cut()
             self.parts, self.rows = [kept], len(kept[0])
-            self.most = max(self.most, 2 * self.rows)
+
+    @property
+    def full(self) -> bool:
+        return self.rows > self.most // 2
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What was kept; nothing is kept after that."""
+        out = self.cut()
+        self.parts, self.rows = [], 0
+        return out
 
     def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.parts:

@@ -154,6 +154,49 @@ def test_recall_and_exact_scores(spark, data):
             assert s == pytest.approx(cosine(of[q], of[i]), abs=1e-12)
 
 
+def test_probes_come_by_falling_chance_and_cover_it():
+    r = np.random.default_rng(8)
+    for k in (1, 2, 5, 8):
+        hashes = ann.Hashes.make(max(k, 2), 1, k)
+        chances = ann.slot_chances(r.standard_normal((1, hashes.borders.shape[1])), hashes.borders[0])[0]
+        assert chances.sum(axis=1) == pytest.approx(1)
+        every = {}
+        for slots in np.ndindex(*[chances.shape[1]] * len(chances)):
+            every[sum(s * chances.shape[1] ** d for d, s in enumerate(slots))] = np.prod([chances[d, s] for d, s in enumerate(slots)])
+        found = list(ann.probes(chances, 0.8))
+        assert len(set(found)) == len(found) and np.diff([every[c] for c in found]).max(initial=0) <= 1e-12
+        assert sum(every[c] for c in found) >= 0.8 > sum(every[c] for c in found[:-1])
+        assert min(every[c] for c in found) >= max((p for c, p in every.items() if c not in set(found)), default=0) - 1e-12
+        assert sorted(ann.probes(chances, 2.0)) == sorted(every)
+
+
+@pytest.mark.parametrize("clustered, cosine, share", [(False, ann.COSINE, 0.95), (True, 0.8, 0.3)])
+def test_fewer_comparisons_than_a_scan(data, clustered, cosine, share):
+    """Comparisons a query, copies in several tables counted each time, and the recall that they give."""
+    r = np.random.default_rng(9)
+    if clustered:
+        v = r.standard_normal((40, 64))[r.integers(0, 40, 3000)] + 0.4 * r.standard_normal((3000, 64))
+    else:
+        import pyarrow.parquet as pq
+
+        v = np.stack(pq.read_table(f"{data.replace('0.001', '0.1')}/embeddings.parquet").column("embedding").to_pylist()).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    hashes = ann.Hashes.make(64)
+    projections = hashes.projections(v)
+    codes, made, hits, asked = hashes.codes(projections), 0, 0, range(0, len(v), 50)
+    for q in asked:
+        seen = np.zeros(len(v), bool)
+        for t in range(len(codes)):
+            visited = np.zeros(hashes.buckets * len(codes), bool)
+            visited[np.fromiter(ann.probes(ann.slot_chances(projections[t, [q]], hashes.borders[t], cosine)[0]), np.int64) + t * hashes.buckets] = True
+            made += visited[codes[t]].sum()
+            seen |= visited[codes[t]]
+        near = v @ v[q]
+        near[q] = -2
+        hits += seen[np.argsort(-near)[:5]].sum()
+    assert hits >= 0.9 * 5 * len(asked) and made < share * len(v) * len(asked)
+
+
 def test_a_hot_bucket_is_dealt_to_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 16)
     r = np.random.default_rng(1)
