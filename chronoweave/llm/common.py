@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextvars import ContextVar
@@ -18,11 +17,8 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="chronoweave-")
-        spark.sparkContext.setCheckpointDir(base)
+    """A new folder that the driver and all executors share: under ``spark.checkpoint.dir``, or under the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/chronoweave-{uuid.uuid4().hex}"
 
 

@@ -31,7 +31,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +45,8 @@ BASE, RATE = 1.001, 20.0
 SLACK = 0.16
 #: Tasks that the members of one pivot are dealt to at most.
 SALTS = 64
-#: Shingles of a block of classes, about, and columns of a matrix product at once.
-BLOCK_SHINGLES, CHUNK = 65_536, 8192
+#: Shingles and classes of a block of classes, about, and columns of a matrix product at once.
+BLOCK_SHINGLES, BLOCK_CLASSES, CHUNK = 65_536, 2048, 4096
 
 _random = np.random.default_rng(20_240_501)
 _BYTE = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -134,11 +133,15 @@ def _linked(n_x: int, n_y: int, common: int) -> bool:
     return 100 * common >= PERCENT * (n_x + n_y - common)
 
 
-def sketch_documents(docs: DataFrame, numbered: bool = False) -> DataFrame:
-    """cw_row (of ``docs`` if ``numbered``), doc_id, n, set_id (128 bits) and sketch of every row; sketch is null for empty sets."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """A written copy of the rows with their number, cw_row, by which they are known whatever their doc_id is."""
+    return written(docs.withColumn("cw_row", F.monotonically_increasing_id()), keep=True)
+
+
+def sketch_documents(docs: DataFrame) -> DataFrame:
+    """cw_row, doc_id, n, set_id (128 bits) and sketch of every numbered row; sketch is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             sizes, ids, sketches = [], [], []
             for text in batch.column(1):
@@ -146,14 +149,12 @@ def sketch_documents(docs: DataFrame, numbered: bool = False) -> DataFrame:
                 sizes.append(len(s))
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sketches.append(registers(s).tobytes() if len(s) else None)
-            rows = batch.column(2).to_numpy() if numbered else np.arange(row, row + len(sizes), dtype=np.int64)
-            row += len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sketches, pa.binary())],
+                [batch.column(2), batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sketches, pa.binary())],
                 ["cw_row", "doc_id", "n", "set_id", "sketch"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text", *(["cw_row"] if numbered else [])).mapInArrow(run, "cw_row long, doc_id long, n long, set_id binary, sketch binary")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text", "cw_row").mapInArrow(run, "cw_row long, doc_id long, n long, set_id binary, sketch binary")
 
 
 def _compared(pairs: DataFrame, values: DataFrame, keep: Callable[[bytes, int, bytes, int], bool]) -> DataFrame:
@@ -197,24 +198,17 @@ def _verified(x: bytes, n_x: int, y: bytes, n_y: int) -> bool:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, n and value (the full set) of the wanted classes (node, doc_id, set_id), from their documents' whole texts."""
-    source = docs.selectExpr("cast(doc_id as long) cw_id", "text")
-    named = wanted.select("node", F.col("doc_id").alias("cw_wanted"), "set_id")
-    rows = source.join(named, F.col("cw_id").eqNullSafe(F.col("cw_wanted"))).select("node", "set_id", "text")
+    """node, n and value (the full set) of the wanted classes (node), from the whole text of the numbered row that each is named by."""
+    rows = docs.select("cw_row", "text").join(wanted.select("node"), F.col("cw_row") == F.col("node")).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, sets = [], [], []
-            for node, set_id, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                raw = (s := shingle_set(text.as_py())).tobytes()
-                if xxhash.xxh3_128_digest(raw) == set_id.as_py():  # else another row with the same doc_id
-                    nodes.append(node.as_py())
-                    sizes.append(len(s))
-                    sets.append(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], ["node", "n", "value"])
+            sets = [shingle_set(text.as_py()) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "value"]
+            )
 
-    # Rows that repeat a document bring the same set more than once.
-    return rows.mapInArrow(run, "node long, n long, value binary").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, n long, value binary")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -300,19 +294,21 @@ class _Linker:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row, as a written table; the tables made on the way are deleted."""
+    rows = numbered(docs.select("doc_id", "text"))
     with scratch(docs.sparkSession):
-        return written(_judged(docs), keep=True)
+        out = written(_judged(rows), keep=True)
+    drop_written(rows)
+    return out
 
 
-def _labelled(docs: DataFrame, numbered: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The sketched rows, and of every class set_id, node (the row of its first document), doc_id, low (its smallest id) and comp."""
-    sketched = written(sketch_documents(docs, numbered))
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows of numbered documents, and of every class set_id, node (the row of its first document), doc_id, low (its smallest id) and comp."""
+    sketched = written(sketch_documents(docs))
     classes = sketched.where("n > 0").groupBy("set_id").agg(
         F.min_by(F.struct("cw_row", "doc_id"), F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "cw_row")).alias("first"), F.min("doc_id").alias("low")
     )
     classes = written(classes.select("set_id", F.col("first.cw_row").alias("node"), F.col("first.doc_id").alias("doc_id"), "low"))
-    firsts = classes.select("node", F.col("doc_id").alias("first_id"))
-    nodes = sketched.join(firsts, F.col("cw_row") == F.col("node")).select("node", F.col("first_id").alias("doc_id"), "set_id", "n", "sketch")
+    nodes = sketched.join(classes.select("node"), F.col("cw_row") == F.col("node")).select("node", "n", "sketch")
     nodes = written(nodes)
 
     bands = REGISTERS // ROWS
@@ -373,7 +369,7 @@ def _left_over(linker: _Linker, met: DataFrame) -> DataFrame:
     edges = able.join(apart.where("low <> high").select("at", "head"), F.col("bucket") == F.col("at")).select(F.col("node").alias("a"), F.col("head").alias("b"))
     grouped = connected(edges.distinct()).select(F.col("node").alias("of"), F.col("comp").alias("group"))
     rows = able.select("node", "n", "cn").distinct().join(grouped, F.col("node") == F.col("of")).select("node", "n", "cn", "group")
-    blocks = F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks")
     rows = rows.join(rows.groupBy(F.col("group").alias("g")).agg(blocks), F.col("group") == F.col("g"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     sent = rows.select("group", "node", "cn", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -408,7 +404,7 @@ def _merging_links(block: list[tuple[int, int, int, np.ndarray]], lo: int, hi: i
     right = [x for x in block if x[2] == hi]
     if not left or not right:
         return [], []
-    common = np.zeros((len(left), len(right)))
+    common = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2^24: exact
     here = np.concatenate([x[3] for x in block])
     values, times = np.unique(here, return_counts=True)
     values = values[times > 1]  # a shingle of one class counts for no pair
@@ -432,7 +428,7 @@ def _merging_links(block: list[tuple[int, int, int, np.ndarray]], lo: int, hi: i
         common += pair[0] @ pair[1].T
     n_l, n_r = (np.array([len(x[3]) for x in side]) for side in (left, right))
     comp_l, comp_r = (np.array([x[1] for x in side]) for side in (left, right))
-    found = (100 * common >= PERCENT * (n_l[:, None] + n_r[None, :] - common)) & (comp_l[:, None] != comp_r[None, :])
+    found = (100.0 * common.astype(np.float64) >= PERCENT * (n_l[:, None] + n_r[None, :] - common.astype(np.float64))) & (comp_l[:, None] != comp_r[None, :])
     root: dict[int, int] = {}
 
     def top(c: int) -> int:
@@ -455,10 +451,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows are judged by a number that they get in a written copy, not by doc_id, which may be null or repeated.
     """
-    numbered = written(docs.withColumn("cw_row", F.monotonically_increasing_id()), keep=True)
+    rows = numbered(docs)
     with scratch(docs.sparkSession):
-        sketched, labelled = _labelled(numbered, numbered=True)
+        sketched, labelled = _labelled(rows)
         first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("node").alias("row"))).alias("first")
         stay = labelled.groupBy("comp").agg(first).select(F.col("first.row").alias("cw_stay"))
         stay = written(stay.unionByName(sketched.where("n = 0").select(F.col("cw_row").alias("cw_stay"))), keep=True)
-    return numbered.join(stay, F.col("cw_row") == F.col("cw_stay"), "left_semi").drop("cw_row")
+    return rows.join(stay, F.col("cw_row") == F.col("cw_stay"), "left_semi").drop("cw_row")
