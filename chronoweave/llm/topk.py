@@ -32,8 +32,8 @@ from .vectors import Best, best_of_each, by_dimension, ranked, usable
 
 #: Rows of a block, row blocks of a stripe, queries of a block.
 ROWS, STRIPE, QUERIES = 4096, 4, 1024
-#: Mean depths of the lists after each round, as parts of a block; after the last one everything is read.
-DEPTHS = (0.5, 0.65, 0.8, 1.0, 1.3)
+#: Mean depths of the lists after each round, as parts of a block: for the first block, and with scores to beat.
+DEPTHS, DEPTHS_WITH_BOUND = (0.6, 0.9, 1.3), (0.8, 1.3)
 
 
 def quantised(vectors: np.ndarray, scale: float = 256.0) -> np.ndarray:
@@ -55,7 +55,7 @@ def fitting(score: int, query: int) -> int:
 
 def _as(x: np.ndarray, kind: type) -> np.ndarray:
     """Whole numbers as another type; Python integers never by way of doubles."""
-    return x.astype(np.int64).astype(object) if kind is object and x.dtype != object else x.astype(kind)
+    return x.astype(np.int64).astype(object) if kind is object and x.dtype != object else x.astype(kind, copy=False)
 
 
 class SortedBlock:
@@ -63,10 +63,10 @@ class SortedBlock:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows, self.read = ids, rows, 0
-        self.order = np.argsort(rows, axis=0, kind="stable").astype(np.int32).T.copy()
+        self.order = np.argsort(rows, axis=0, kind="stable").T.copy()
         self.lists = np.take_along_axis(rows.T, self.order, axis=1)
-        self.place = np.empty_like(self.order)
-        np.put_along_axis(self.place, self.order, np.arange(len(ids), dtype=np.int32)[None, :], axis=1)
+        self.place = np.empty(self.order.shape, np.int16 if len(ids) < 1 << 15 else np.int32)
+        np.put_along_axis(self.place, self.order, np.arange(len(ids), dtype=self.place.dtype)[None, :], axis=1)
         self.largest = int(np.abs(rows).max(initial=0))
 
     def _typed(self, query: np.ndarray) -> type:
@@ -95,32 +95,27 @@ class SortedBlock:
         weights /= weights[used].mean()
         depth, known = np.zeros(len(query), np.int64), np.zeros(n, kind)
         worst = query * _as(np.where(rising, self.lists[:, 0], self.lists[:, -1]), kind)
-        for part in DEPTHS:
+        bound, falling = least, ~rising[:, None]
+        for part in DEPTHS if least is None else DEPTHS_WITH_BOUND:
             wanted = np.minimum(n, np.ceil(part * n * weights)).astype(np.int64)
-            parts = []
-            for j in used[wanted[used] > depth[used]]:
+            more = used[wanted[used] > depth[used]]
+            if not len(more):
+                break
+            for j in more:
                 read = slice(n - wanted[j], n - depth[j]) if rising[j] else slice(depth[j], wanted[j])
-                parts.append((self.order[j, read], query[j] * _as(self.lists[j, read], kind)))
+                known[self.order[j, read]] += query[j] * _as(self.lists[j, read], kind)  # a list shows a row once
+            self.read += int((wanted[more] - depth[more]).sum())
             depth = np.maximum(depth, wanted)
-            if not parts:
-                break
-            shown, products = (np.concatenate(x) for x in zip(*parts, strict=True))
-            self.read += len(shown)
-            if kind is np.float64:
-                known += np.bincount(shown, products, n)
-            else:
-                np.add.at(known, shown, products)
             edge = np.where(rising, n - depth, depth - 1).clip(0, n - 1)
             last = np.where(depth == 0, first, query * _as(self.lists[np.arange(len(query)), edge], kind))
             # Whether a list has shown a row: by the row's place in it.
-            place = self.place[:, alive]
-            unread = np.where(rising[:, None], place < (n - depth)[:, None], place >= depth[:, None]).astype(kind)
-            upper, lower = known[alive] + last @ unread, known[alive] + worst @ unread
-            low = np.sort(best_of_each(self.ids[alive], lower)[1])
-            bound = low[len(low) - k] if len(low) > k else None
-            bound = bound if least is None or bound is not None and bound > least else least
+            place = self.place if len(alive) == n else self.place[:, alive]
+            unread = ((place < np.where(rising, n - depth, depth).astype(place.dtype)[:, None]) ^ falling).astype(kind)
+            if least is None:
+                low = np.sort(best_of_each(self.ids[alive], known[alive] + worst @ unread)[1])
+                bound = low[len(low) - k] if len(low) > k else None
             if bound is not None:
-                alive = alive[upper >= bound]
+                alive = alive[known[alive] + last @ unread >= bound]
             if len(alive) <= 4 * k:
                 break
         return alive
