@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import floor_div
 from ..model import StreamError
-from .order import first_rows
+from .order import constants, first_rows
 
 #: How the first sample of a series finds the grid.
 STRATEGIES = "nearest", "backward", "forward"
@@ -57,7 +57,7 @@ def align_regular(df: DataFrame, period_ns: int, strategy: str = "nearest") -> D
     check_period(period_ns)
     base = first_rows(df, cw_t="t_ns")
     base = base.select("series_id", (grid_time(F.col("cw_t"), period_ns, strategy) - F.col("cw_t")).alias("cw_shift"))
-    return df.join(base, "series_id").withColumn("t_ns", F.col("t_ns") + F.col("cw_shift")).select(*df.columns)
+    return df.join(constants(base), "series_id").withColumn("t_ns", F.col("t_ns") + F.col("cw_shift")).select(*df.columns)
 
 
 def align_stats(df: DataFrame, period_ns: int) -> DataFrame:

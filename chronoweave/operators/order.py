@@ -13,7 +13,9 @@ from pyspark.sql.window import Window
 from ..functions import floor_div
 
 #: Time span of a segment when rows get their numbers, and rows of a segment when they look back.
-SEGMENT_NS, SEGMENT_ROWS = 86_400_000_000_000, 65_536
+SEGMENT_NS, SEGMENT_ROWS = 600_000_000_000, 65_536
+#: Series whose constants are broadcast; of more they are joined.
+BROADCAST_SERIES = 50_000
 
 
 def with_seq(df: DataFrame, order: list[Column], segment_ns: int = SEGMENT_NS) -> DataFrame:
@@ -53,3 +55,14 @@ def first_rows(df: DataFrame, **values: str) -> DataFrame:
     """
     first = df.groupBy("series_id").agg(F.min_by(F.struct(*(c for c in df.columns if c != "series_id")), "seq").alias("cw_first"))
     return first.select("series_id", *(F.col(f"cw_first.{source}").alias(name) for name, source in values.items()))
+
+
+def constants(base: DataFrame) -> DataFrame:
+    """One row per series, to be joined to its samples: broadcast if there are few series, so that no sample is shuffled.
+
+    The rows are made now, and at most ``BROADCAST_SERIES`` of them are kept; with more series, or in a stream, ``base`` is returned as it is.
+    """
+    if base.isStreaming:
+        return base
+    rows = base.limit(BROADCAST_SERIES + 1).collect()
+    return base if len(rows) > BROADCAST_SERIES else F.broadcast(base.sparkSession.createDataFrame(rows, base.schema))

@@ -108,9 +108,24 @@ def cast_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("series_id", "seq", narrow(F.col("value"), Dtype.I32).alias("i32"), narrow(F.col("value"), Dtype.U32).alias("u32"))
 
 
-@query()
+_STATE = """WITH RECURSIVE samples AS MATERIALIZED (
+        SELECT CAST(user_id AS VARCHAR) AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
+            CAST(CAST(value AS FLOAT) AS DOUBLE) AS x FROM events
+    ), fold AS (
+        SELECT series_id, seq, x, x AS y FROM samples WHERE seq = 0
+        UNION ALL
+        SELECT s.series_id, s.seq, s.x, f.y + 0.25::DOUBLE * (s.x - f.y) FROM fold f JOIN samples s ON s.series_id = f.series_id AND s.seq = f.seq + 1
+    )
+    SELECT series_id, seq, CAST({value} AS FLOAT) AS value FROM fold"""
+
+
+@query(_STATE.format(value="x - y"), samples=False)
+def remove_dc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.remove_dc(samples(spark, sf_dir), 0.25).select("series_id", "seq", "value")
+
+
+@query(_STATE.format(value="y"), samples=False)
 def low_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stateful map: no SQL, the tests have a plain version."""
     return ops.low_pass(samples(spark, sf_dir), 0.25).select("series_id", "seq", "value")
 
 
@@ -342,9 +357,17 @@ def integer_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", number_text(F.col("user_id"), Dtype.U32, "hex").alias("hex"), number_text(F.col("user_id"), Dtype.U32, "binary").alias("bits"))
 
 
-@query()
+@query(""", parts AS (
+        SELECT series_id, seq, abs(CAST(value AS DOUBLE)) AS x, signbit(value) AS negative, CAST(floor(log2(abs(CAST(value AS DOUBLE)))) AS BIGINT) AS guess
+        FROM samples WHERE value <> 0
+    ), placed AS (
+        SELECT *, CASE WHEN x >= pow(2::DOUBLE, guess + 1) THEN guess + 1 WHEN x < pow(2::DOUBLE, guess) THEN guess - 1 ELSE guess END AS e FROM parts
+    ), bits AS (
+        SELECT series_id, seq, CASE WHEN negative THEN 2147483648 ELSE 0 END + (e + 127) * 8388608 + CAST((x / pow(2::DOUBLE, e) - 1) * 8388608 AS BIGINT) AS b FROM placed
+        UNION ALL SELECT series_id, seq, CASE WHEN signbit(value) THEN 2147483648 ELSE 0 END FROM samples WHERE value = 0
+    )
+    SELECT series_id, seq, '0x' || lpad(printf('%X', b), 8, '0') AS hex FROM bits""")
 def float_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bits of floats: not in SQL, the tests compare with struct.pack."""
     return samples(spark, sf_dir).select("series_id", "seq", hex32(float_bits("value")).alias("hex"))
 
 
