@@ -113,5 +113,27 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id < max(page_id) OVER same THEN max(page_id) OVER same END AS refers_to
         FROM coded WINDOW same AS (PARTITION BY payload_digest)
     """,
+    "op7_setsketch_near_duplicates": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), sets AS MATERIALIZED (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+        ), shingles AS MATERIALIZED (
+            SELECT doc_id, unnest(s) AS g FROM sets
+        ), common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), links AS MATERIALIZED (
+            SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)
+        ), ways AS MATERIALIZED (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reached AS (
+            SELECT doc_id, doc_id AS low FROM sets UNION SELECT ways.b, reached.low FROM reached JOIN ways ON ways.a = reached.doc_id
+        ), lowest AS (
+            SELECT doc_id, min(low) AS component_id FROM reached GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN lowest USING (doc_id)
+    """,
     "op8_license_digests": license_sql(),
 }
