@@ -56,6 +56,8 @@ _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _SIGNED = re.compile(
     rb"[0-9$@*#]*[a-z\x80-\xff]+(?:[!-@\[-`{-~]+[a-z\x80-\xff]+)+[0-9$@*#]*|[0-9$@*#]+[a-z\x80-\xff]+[0-9$@*#]*|[a-z\x80-\xff]+[0-9$@*#]+"
 )
+#: Kinds of bytes: what a word may have beside letters, signs, and letters.
+_KINDS = bytes(48 if c in b"0123456789$@*#" else 46 if 33 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126 else 97 if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 #: In names of words and stems: after a short whole word, before what begins inside a word.
 _END, _INSIDE = b"\x01", b"\x02"
 
@@ -65,7 +67,10 @@ def words_of(text: str | None) -> list[bytes]:
     if not text:
         return []
     raw = text.lower().encode("utf-8", "replace")
-    words = raw.translate(_LETTERS).split() + _SIGNED.findall(raw)
+    words = raw.translate(_LETTERS).split()
+    kinds = raw.translate(_KINDS)
+    if b"0" in kinds or b".a" in kinds:  # else the pattern finds nothing
+        words += _SIGNED.findall(raw)
     if max(map(len, words), default=0) <= LONGEST:
         return words
     out = []
