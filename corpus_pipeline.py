@@ -14,22 +14,28 @@ from chronoweave.llm.common import read_table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score, by a model of the labelled ones among them, is below one half."""
+    """Documents whose score, by a model of the labelled ones among them, is below one half.
+
+    Null and empty texts have no evidence and stay; repeated rows are judged alike; null doc_ids are judged, but never learnt from.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents near enough to a language that is learnt from them."""
+    """Documents near enough to a language that is learnt from them.
+
+    Null texts and texts without a letter go; without any known language all go; repeated rows are judged alike; short texts are not rejected for their cosine.
+    """
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of near duplicates."""
+    """The row with the smallest doc_id of each component of near duplicates (of repeated rows one); a row without words is linked with nothing and stays."""
     return neardup.keep_first(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of up to 2048 tokens."""
+    """Pieces of the documents in sequences of up to 2048 tokens; a null or empty text is its end token; repeated rows are packed each by itself."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -40,7 +46,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Classifiers, sketches and packing are not expressible in SQL; the tests compare with plain versions.
+#: Classifiers, sketches and packing are not expressible in SQL; the tests compare toxicity, near duplicates and packing with plain versions.
 ORACLE_SQL = None
 
 
