@@ -5,7 +5,8 @@ those words of toxic passages that ordinary ones hardly use: words with a stem (
 is beyond chance; of whole passages a dictionary would mostly learn ordinary prose, which tells nothing.  Both compressors also
 know the ordinary dictionary's text, at the same distance, so that ordinary prose costs the same in both.
 A window is ``WINDOW`` words, each after marks of its own so that matches begin where words do, and a fixed tail, because zstandard looks for no
-match in the last bytes of a block; pairs that were learnt are further windows.  Its gain is its compressed length with the ordinary dictionary less that with the toxic one.  A
+match in the last bytes of a block; pairs that were learnt are further windows.  A window without six bytes in common with the toxic dictionary, the
+shortest match, has no gain and is not compressed, for both lengths would be the same; a vectorised look at all bytes finds these.  Its gain is its compressed length with the ordinary dictionary less that with the toxic one.  A
 text's evidence is the number and sum of gains that reach the thresholds, by themselves and per window.  A logistic model of that
 evidence gives the score; it and the thresholds (the choice of ``THRESHOLDS`` with the least log loss, each half of the sample judged by the
 other) are calibrated on labelled texts that the dictionaries have not seen.
@@ -49,6 +50,8 @@ SEGMENT, DMER = 24, 8
 TAIL = 24
 #: Choices of thresholds of a window's gain; the largest gain told apart; windows compressed at once.
 THRESHOLDS, MOST, AT_ONCE = ((2, 3, 4, 5), (3, 4, 5, 6), (3, 5), (4, 6)), 12, 4096
+#: Bytes of the compressors' shortest match.
+MATCH = 6
 
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -190,6 +193,16 @@ def trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def _slots(data: bytes) -> np.ndarray:
+    """A hash of 16 bits of each four bytes in a row."""
+    n = max(0, len(data) - 3)
+    codes = np.empty(n, np.uint32)
+    for at in range(min(4, n)):
+        own = codes[at::4]
+        own[:] = np.frombuffer(data, "<u4", len(own), at)
+    return codes * np.uint32(2654435761) >> np.uint32(16)
+
+
 @dataclass
 class ToxicityModel:
     """The dictionaries, the pairs of words learnt, thresholds of a window's gain, and weights of the evidence.  ``prior`` is the score without a fit."""
@@ -202,7 +215,7 @@ class ToxicityModel:
     prior: float = 0.0
 
     def __post_init__(self):
-        self._compressors = None
+        self._compressors = self._shared = None
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -215,7 +228,7 @@ class ToxicityModel:
         """The compressors that know ordinary text, and toxic text as well."""
         if self._compressors is None:
             settings = zstandard.ZstdCompressionParameters(
-                window_log=14, chain_log=13, hash_log=13, search_log=4, min_match=6, target_length=16, strategy=zstandard.STRATEGY_LAZY,
+                window_log=14, chain_log=13, hash_log=13, search_log=4, min_match=MATCH, target_length=16, strategy=zstandard.STRATEGY_LAZY,
                 write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
             )
             self._compressors = tuple(
@@ -226,16 +239,34 @@ class ToxicityModel:
 
     def windows(self, text: str | None) -> list[bytes]:
         """All windows of a whole text."""
-        words, tail = words_of(text), b"\n" + self.ordinary[-TAIL:]
-        blocks = [marked(words[i : i + WINDOW]) + tail for i in range(0, len(words), WINDOW)]
-        return blocks + [marked([pair]) + tail for pair in as_words(words, self.pairs)]
+        return [b + b"\n" + self.ordinary[-TAIL:] for b in self.blocks(text)]
+
+    def blocks(self, text: str | None) -> list[bytes]:
+        """All windows of a whole text, without their tails."""
+        words = words_of(text)
+        blocks = [marked(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
+        return blocks + [marked([pair]) for pair in as_words(words, self.pairs)]
+
+    def matching(self, blocks: list[bytes]) -> list[bytes]:
+        """Those that may match the toxic dictionary: three four-byte strings in a row, hashed, are among its own."""
+        if self._shared is None:
+            self._shared = np.zeros(1 << 16, bool)
+            self._shared[_slots(self.toxic + self.ordinary[: MATCH - 1])] = True
+        hits = self._shared[_slots(b"".join(blocks))]
+        hits = np.flatnonzero(hits[:-2] & hits[1:-1] & hits[2:])
+        ends = np.cumsum(np.fromiter(map(len, blocks), np.int64, len(blocks)))
+        return [blocks[i] for i in np.unique(np.searchsorted(ends, hits, "right")).tolist()]
 
     def gains(self, text: str | None) -> np.ndarray:
         """How many windows of a text have the gain 0 (or less), 1, 2 and so on."""
-        blocks, seen = self.windows(text), np.zeros(MOST + 1, np.int64)
+        blocks, seen, tail = self.blocks(text), np.zeros(MOST + 1, np.int64), b"\n" + self.ordinary[-TAIL:]
         for at in range(0, len(blocks), AT_ONCE):
-            plain, toxic = (np.array([len(b) for b in c.multi_compress_to_buffer(blocks[at : at + AT_ONCE])]) for c in self.compressors())
-            seen += np.bincount(np.clip(plain - toxic, 0, MOST), minlength=MOST + 1)
+            part = blocks[at : at + AT_ONCE]
+            found = [b + tail for b in self.matching(part)]
+            seen[0] += len(part) - len(found)
+            if found:
+                plain, toxic = (np.array([len(b) for b in c.multi_compress_to_buffer(found)]) for c in self.compressors())
+                seen += np.bincount(np.clip(plain - toxic, 0, MOST), minlength=MOST + 1)
         return seen
 
     def score(self, text: str | None) -> float:
