@@ -46,7 +46,7 @@ def _number(cell: Column) -> Column:
 
 @dataclass
 class CsvSource:
-    """What to read from a file with a header line."""
+    """What to read from a file with a header line, or from the files of a folder, in the order of their paths, that all have the same one."""
 
     path: str
     ts_column: str
@@ -84,9 +84,13 @@ class CsvSource:
         missing = [c for c in [self.ts_column, *self.data_columns] if c not in names]
         if missing:
             raise StreamError("INVALID_CONFIG", f"no column {', '.join(missing)} in {self.path}")
-        # Numbers of lines rise with their place, in files that are read in order, whatever the number of partitions.
-        lines = spark.read.text(self.path).withColumn("cw_at", F.monotonically_increasing_id())
-        body = lines.where(F.col("cw_at") != 0)
+        # Numbers of lines rise with their place within a part of a file; parts are in order by file and first byte.
+        text = spark.read.text(self.path)
+        lines = text.select(
+            "value", F.monotonically_increasing_id().alias("cw_at"),
+            F.col("_metadata.file_path").alias("cw_file"), F.col("_metadata.file_block_start").alias("cw_block"),
+        )
+        body = lines.where(F.col("cw_at") != 0) if len(text.inputFiles()) == 1 else _without_headers(lines, self.delimiter, names)
         rows = parse_lines(body, names, self.ts_column, self.data_columns, self.delimiter, self.skip_invalid, self.dtype)
         if self.loops > 1:
             rows = rows.withColumn("cw_loop", F.explode(F.sequence(F.lit(0), F.lit(self.loops - 1))))
@@ -100,15 +104,26 @@ class CsvSource:
         )
 
 
+def _without_headers(lines: DataFrame, delimiter: str, names: list[str]) -> DataFrame:
+    """Lines of several files, null in place of each file's first; the names there have to be ``names``.  Only one row per file is joined.
+
+    The line itself depends on the join, so that no later judgement of lines can be made before it.
+    """
+    first = lines.where("cw_block = 0").groupBy("cw_file").agg(F.min("cw_at").alias("cw_first"), F.min_by("value", "cw_at").alias("cw_header"))
+    own = F.transform(cells_of(F.col("cw_header"), delimiter), F.trim)
+    other = F.raise_error(F.concat(F.lit("INVALID_CONFIG: another header in "), "cw_file")).cast("string")
+    line = F.when(own == F.array(*map(F.lit, names)), F.when(F.col("cw_at") != F.col("cw_first"), F.col("value"))).otherwise(other)
+    return lines.join(first, "cw_file").withColumn("value", line).drop("cw_first", "cw_header")
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Gapless numbers in the order of (loop, line): counts of partitions first, then places within them."""
-    part = F.shiftright(F.col("cw_at"), 33)
-    rows = rows.withColumn("cw_part", part)
-    counts = rows.groupBy("cw_loop", "cw_part").agg(F.count("*").alias("cw_n"))
-    before = Window.orderBy("cw_loop", "cw_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file part
-    starts = counts.select("cw_loop", "cw_part", F.coalesce(F.sum("cw_n").over(before), F.lit(0)).alias("cw_start"))
-    place = F.row_number().over(Window.partitionBy("cw_loop", "cw_part").orderBy("cw_at"))
-    out = rows.withColumn("cw_place", place).join(starts, ["cw_loop", "cw_part"])
+    """Gapless numbers in the order of (loop, file, line): counts of parts of files first, then places within them."""
+    part = ["cw_loop", "cw_file", "cw_block"]
+    counts = rows.groupBy(*part).agg(F.count("*").alias("cw_n"))
+    before = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)  # one row per file part
+    starts = counts.select(*part, F.coalesce(F.sum("cw_n").over(before), F.lit(0)).alias("cw_start"))
+    place = F.row_number().over(Window.partitionBy(*part).orderBy("cw_at"))
+    out = rows.withColumn("cw_place", place).join(starts, part)
     return out.withColumn("seq", (F.col("cw_start") + F.col("cw_place") - 1).cast("long"))
 
 
@@ -118,7 +133,7 @@ def parse_lines(
     """Lines (column ``value``) with ``t_ns`` and ``cw_values``, an array of the selected cells.
 
     A row is invalid if its time or any cell under a name is no number, or if it has no cell; invalid rows go, or raise INVALID_DATA.
-    Missing cells at the end are 0; cells beyond the names are ignored.
+    Missing cells at the end are 0; cells beyond the names are ignored; null in place of a line is no row.
     """
     cells = lines.withColumn("cw_cells", cells_of(F.col("value"), delimiter))
     at = F.col("cw_cells")
@@ -131,11 +146,12 @@ def parse_lines(
     values = F.array(*(narrow(F.coalesce(_number(F.get(at, F.lit(names.index(c)))), F.lit(0.0)), dtype) for c in data_columns))
     judged = cells.withColumn("t_ns", t).withColumn("cw_values", values).withColumn("cw_valid", F.coalesce(valid, F.lit(False)))
     error = F.when(long_line, F.raise_error(F.lit("INVALID_DATA: line too long")).cast("boolean"))
+    none = F.when(F.col("value").isNull(), F.lit(False))
     if skip_invalid:
-        judged = judged.where(F.coalesce(error, F.col("cw_valid")))
+        judged = judged.where(F.coalesce(none, error, F.col("cw_valid")))
     else:
         bad = F.raise_error(F.concat(F.lit("INVALID_DATA: "), F.substring("value", 1, 80))).cast("boolean")
-        judged = judged.where(F.coalesce(error, F.when(F.col("cw_valid"), F.lit(True)).otherwise(bad)))
+        judged = judged.where(F.coalesce(none, error, F.when(F.col("cw_valid"), F.lit(True)).otherwise(bad)))
     return judged.drop("cw_cells", "cw_valid", "value")
 
 

@@ -43,6 +43,31 @@ def test_columns_by_name(spark, text):
         CsvSource(path, "ts_ns", ["sensor9"]).read(spark)
 
 
+def test_several_files_are_read_in_order(spark, text, tmp_path):
+    (tmp_path / "d").mkdir()
+    text("ts,v\n1,10\n2,20\n", "d/a.csv")
+    text("ts,v\n" + "".join(f"{i},{10 * i}\n" for i in range(3, 34)), "d/b.csv")
+    text("ts,v\n", "d/c.csv")
+    got = CsvSource(str(tmp_path / "d"), "ts", ["v"]).read(spark)
+    assert [(x.seq, x.t_ns, x.value) for x in got.orderBy("seq").collect()] == [(i - 1, i, 10.0 * i) for i in range(1, 34)]
+    twice = CsvSource(str(tmp_path / "d"), "ts", ["v"], loops=2).read(spark)
+    assert [t for t, _ in values(twice)] == 2 * list(range(1, 34))
+    text("v,ts\n7,7\n", "d/e.csv")
+    with pytest.raises(Exception, match="INVALID_CONFIG: another header"):
+        CsvSource(str(tmp_path / "d"), "ts", ["v"], skip_invalid=True).read(spark).collect()
+
+
+def test_a_file_in_several_parts_keeps_its_order(spark, text):
+    path = text("ts,v\n" + "".join(f"{i},{i}\n" for i in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = CsvSource(path, "ts", ["v"]).read(spark)
+        assert [(x.seq, x.t_ns) for x in got.orderBy("seq").collect()] == [(i, i) for i in range(4000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @pytest.mark.parametrize(("body", "kept"), [
     ("1000,1.0\n2000,bad\n3000,3.0\nbad,4.0\n5000,5.0\n", [1000, 3000, 5000]),
     ("1000,1.5 \n2000,1.5d\n3000,0x10\n4000,1e400\n5000,-1e3\n-6000,1\n7000,.5\n8000,nan\n9000,inf\n", [5000, 7000, 8000, 9000]),
