@@ -95,6 +95,45 @@ def test_repeated_ids_with_other_texts(spark):
     compare(spark.createDataFrame([(7, a), (7, b), (3, b + " tail"), (9, a + " tail"), (9, a + " tail")], "doc_id long, text string"))
 
 
+def shuffled(spark):
+    """Bytes written for shuffles so far."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    done = spark._jsc.sc().statusStore().executorList(False)
+    return sum(done.apply(i).totalShuffleWrite() for i in range(done.size()))
+
+
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, " ".join(f"{r.getrandbits(48):x}" for _ in range(1500))) for i in range(300)]
+    rows += [(1000 + i, f"{rows[i][1]} and a tail") for i in range(10)]
+    monkeypatch.setattr(neardup, "SALTS", 1)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many rows
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        before = shuffled(spark)
+        assert {r.doc_id for r in neardup.keep_first(docs).collect()} == set(range(300))
+        assert shuffled(spark) - before < sum(len(t) for _, t in rows) / 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_picked_rows(spark, monkeypatch):
+    numbers = [0, 7, 8, 32_767, 32_768, 40_000, (5 << 33) + 1, (1 << 62) + 32_767]
+    rows = spark.createDataFrame([(n, str(n)) for n in [*numbers, 1, 9, 32_769, 5 << 33, 1 << 62]], "cw_row long, place string")
+    wanted = spark.createDataFrame([(n,) for n in numbers + numbers[:3] + [2, 3 << 33]], "end long")
+    for most in (8192, 4, 3, 0):
+        monkeypatch.setattr(neardup, "BITMAPS", most)
+        assert sorted(r.cw_row for r in neardup._picked(rows, wanted).collect()) == sorted(numbers)
+    assert neardup._picked(rows, wanted.where("false")).collect() == []
+
+
+def test_rows_with_too_many_numbers_for_bitmaps(spark, odd, monkeypatch):
+    monkeypatch.setattr(neardup, "BITMAPS", 0)
+    compare(odd)
+    assert Counter(r.doc_id for r in neardup.keep_first(odd).collect()) == Counter([-3, 1, 4, 5, 6, 7, 9, None, 11, 12])
+
+
 @pytest.mark.parametrize("share", [0.5, 0.75, 0.9])
 def test_estimates(share):
     r = np.random.default_rng(int(100 * share))
